@@ -9,6 +9,7 @@ from tidemark.functions.time import epoch_us
 from tidemark.llm.clusters import describe_clusters, name_clusters, similarity_clusters
 from tidemark.llm.nearest_time import nearest
 from tidemark.llm.packing import pack
+from tidemark.llm.pii import find_mentions, sanitise
 from tidemark.llm.tokens import decode_ids, token_ids
 from tidemark.llm.vectors import nearest_vectors
 from tidemark.sources.tables import read_table
@@ -75,9 +76,19 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sizes, "doc_id", "n_tokens", CAPACITY)
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_mentions(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return found.select("doc_id", "kind", "found_text").distinct()
+
+
+def p10_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with typed placeholders for its mentions."""
+    return sanitise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
 QUERIES = {
     "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p7_clusters": p7_clusters, "p7_markov": p7_markov,
-    "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers,
+    "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p10_found": p10_found, "p10_sanitised": p10_sanitised,
 }
 
 _P4 = """
