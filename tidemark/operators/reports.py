@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.time import epoch_us
+
 
 def session_days(sessions: DataFrame) -> DataFrame:
     """Adds ``day``: the session's date, else the first date known of its recording, else null."""
@@ -95,7 +97,7 @@ def metrics(sessions: DataFrame, matches: DataFrame, receipts: DataFrame, profil
 
 
 def receipt_summary(receipts: DataFrame, matches: DataFrame, sessions: DataFrame) -> DataFrame:
-    """One row per receipt with its service minutes and the sessions and persons that took it."""
+    """One row per receipt with its time of service and the sessions and persons that took it."""
     m = matches.join(sessions.select(F.col("id").alias("visit_session_id"), "person_id"), "visit_session_id", "left")
     per = m.groupBy("receipt_id").agg(
         F.count("*").alias("sessions"),
@@ -104,10 +106,10 @@ def receipt_summary(receipts: DataFrame, matches: DataFrame, sessions: DataFrame
         F.bool_or("is_ambiguous").alias("is_ambiguous"),
         F.min("distance_us").alias("nearest_us"),
     )
-    minutes = F.round(F.timestamp_diff("MICROSECOND", "opened_at", "closed_at") / 60e6, 4)
+    service = epoch_us(F.col("closed_at")) - epoch_us(F.col("opened_at"))
     r = receipts.dropDuplicates(["id"]).join(per.withColumnRenamed("receipt_id", "id"), "id", "left")
     return r.select(
-        F.col("id").alias("receipt_id"), "tt", "table_number", "amount", F.to_date("closed_at").alias("day"), minutes.alias("service_minutes"),
+        F.col("id").alias("receipt_id"), "tt", "table_number", "amount", F.to_date("closed_at").alias("day"), service.alias("service_us"),
         F.coalesce("sessions", F.lit(0)).alias("sessions"), F.coalesce("session_ids", F.lit("")).alias("session_ids"), F.coalesce("person_ids", F.lit("")).alias("person_ids"),
         F.coalesce("is_ambiguous", F.lit(False)).alias("is_ambiguous"), "nearest_us",
     )

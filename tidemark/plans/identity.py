@@ -63,13 +63,13 @@ def staff_reference_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def staff_reclassify_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visits that a face at least 0.5 similar to a staff vector turns into staff visits, and the person each loses.
 
-    A member of staff is known by the best face of the visits under the staff number.
+    A member of staff is known by the best face of the smallest person that the staff number's visits name.
     """
     faces, visits = _faces(spark, sf_dir), read_table(spark, sf_dir, "visits").dropDuplicates(["id"])
-    faces = faces.where(I.is_vector(F.col("embedding"), DIM)).select(F.col("id").cast("bigint").alias("face_id"), "visit_id", "quality_score", "embedding")
-    own = faces.join(visits.where("staff_id is not null").select(F.col("id").alias("visit_id"), "staff_id"), "visit_id")
-    best = own.groupBy("staff_id").agg(F.min_by(F.struct("face_id", "embedding"), F.struct(-F.coalesce("quality_score", F.lit(0.0)), "face_id")).alias("b"))
-    staff = best.select("b.face_id", F.col("staff_id").cast("bigint").alias("person_id"), F.col("b.embedding").alias("v"))
+    faces = faces.where(I.is_vector(F.col("embedding"), DIM)).select(F.col("id").cast("bigint").alias("face_id"), "visit_id", F.col("person_id"), "quality_score", "embedding")
+    known = visits.where("staff_id is not null and person_id is not null").groupBy("staff_id").agg(F.min("person_id").alias("person_id"))
+    best = faces.where("person_id is not null").groupBy("person_id").agg(F.min_by(F.struct("face_id", "embedding"), F.struct(-F.coalesce("quality_score", F.lit(0.0)), "face_id")).alias("b"))
+    staff = known.join(best, "person_id").select("b.face_id", F.col("staff_id").cast("bigint").alias("person_id"), F.col("b.embedding").alias("v"))
     near = I.nearest_persons(faces.select(F.col("face_id").alias("query_id"), F.col("embedding").alias("v")), staff, DIM, 1).where("similarity >= 0.5")
     scored = near.select(F.col("query_id").alias("face_id"), F.col("person_id").alias("staff_id"), "similarity").join(faces.select("face_id", "visit_id"), "face_id")
     hit = scored.groupBy("visit_id").agg(F.min(F.struct((-F.col("similarity")).alias("d"), "staff_id")).alias("b"))
@@ -138,7 +138,8 @@ SELECT label, pos, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 6) AS v
     "staff_reclassify_effect": f"""
 WITH f AS (SELECT * FROM (SELECT DISTINCT ON (id) * FROM faces ORDER BY id) WHERE {_VALID.format(v='embedding')}),
 v AS (SELECT DISTINCT ON (id) id AS visit_id, person_id, is_staff, staff_id FROM visits ORDER BY id),
-o AS (SELECT staff_id, embedding::DOUBLE[] AS s, row_number() OVER (PARTITION BY staff_id ORDER BY coalesce(quality_score, 0) DESC, f.id) AS k FROM f JOIN v USING (visit_id) WHERE staff_id IS NOT NULL),
+p AS (SELECT staff_id, min(person_id) AS person_id FROM v WHERE staff_id IS NOT NULL AND person_id IS NOT NULL GROUP BY 1),
+o AS (SELECT staff_id, embedding::DOUBLE[] AS s, row_number() OVER (PARTITION BY staff_id ORDER BY coalesce(quality_score, 0) DESC, f.id) AS k FROM f JOIN p USING (person_id)),
 c AS (SELECT visit_id, o.staff_id, round(list_cosine_similarity(f.embedding::DOUBLE[], o.s), 6) AS similarity FROM f, o WHERE o.k = 1),
 b AS (SELECT *, row_number() OVER (PARTITION BY visit_id ORDER BY similarity DESC, staff_id) AS k FROM c)
 SELECT v.visit_id, CAST(b.staff_id AS BIGINT) AS new_staff_id, b.similarity, v.person_id AS lost_person_id, v.is_staff AS was_staff FROM b JOIN v USING (visit_id) WHERE k = 1 AND similarity >= 0.5""",

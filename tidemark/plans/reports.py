@@ -103,7 +103,7 @@ ORACLE = {
     "people_summary_with_total": f"SELECT * FROM ({_BASE}{_metrics('day')}SELECT coalesce(CAST(day AS VARCHAR), 'unknown') AS day, {_PEOPLE} FROM mm) UNION ALL SELECT * FROM ({_BASE}{_metrics('0')}SELECT 'total' AS day, {_PEOPLE} FROM mm)",
     "receipt_summary": _BASE + """, rp AS (SELECT receipt_id, count(*) AS sessions, string_agg(CAST(visit_session_id AS VARCHAR), ', ' ORDER BY visit_session_id) AS session_ids, bool_or(is_ambiguous) AS is_ambiguous, min(distance_us) AS nearest_us FROM n GROUP BY 1),
 q AS (SELECT receipt_id, string_agg(CAST(person_id AS VARCHAR), ', ' ORDER BY person_id) AS person_ids FROM (SELECT DISTINCT n.receipt_id, s.person_id FROM n JOIN sess s ON s.id = n.visit_session_id WHERE s.person_id IS NOT NULL) GROUP BY 1)
-SELECT r.id AS receipt_id, r.tt, r.table_number, CAST(r.amount AS DOUBLE) AS amount, r.day, round((epoch_us(closed_at) - epoch_us(opened_at)) / 60e6::DOUBLE, 4) AS service_minutes,
+SELECT r.id AS receipt_id, r.tt, r.table_number, CAST(r.amount AS DOUBLE) AS amount, r.day, epoch_us(closed_at) - epoch_us(opened_at) AS service_us,
   coalesce(sessions, 0) AS sessions, coalesce(session_ids, '') AS session_ids, coalesce(person_ids, '') AS person_ids, coalesce(is_ambiguous, false) AS is_ambiguous, nearest_us
 FROM rec r LEFT JOIN rp ON rp.receipt_id = r.id LEFT JOIN q ON q.receipt_id = r.id""",
     "visit_summary": _BASE + """SELECT s.id AS visit_session_id, s.day, d.camera_name, s.person_id, gender, age, segments_count, coalesce(time_is_estimated, false) AS time_is_estimated, n.receipt_id, CAST(r.amount AS DOUBLE) AS amount, n.distance_us,
