@@ -23,6 +23,8 @@ from tidemark.llm.vectors import Cell, _best, build_index, fit, scan_cells
 
 #: Strongest entries a local column keeps, inflation exponent, smallest share kept, and rounds at most.
 COLUMN, INFLATION, PRUNE, ROUNDS = 8, 2.0, 1e-3, 12
+#: Rounds at most on the coarse graph: flow then reaches over 2**4 groups.
+COARSE_ROUNDS = 4
 _DDL = "kind byte, a bigint, b bigint, w double, ids array<bigint>"
 _NODE, _LINK = 0, 1
 
@@ -96,7 +98,7 @@ def _groups(cell: Cell, row: np.ndarray, member: np.ndarray, s: np.ndarray) -> p
     })
 
 
-def coarse_flow(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def coarse_flow(edges: DataFrame, rounds: int = COARSE_ROUNDS) -> DataFrame:
     """(node, cluster) of the Markov clustering of a weighted graph given as both directions (a, b, w) of its edges.
 
     The matrix is kept as (i, j, v) with columns of sum one. A round joins it with itself on the inner
@@ -107,13 +109,13 @@ def coarse_flow(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     def settle(m: DataFrame, power: float) -> DataFrame:
         m = m.withColumn("v", F.pow("v", F.lit(power))).withColumn("v", F.col("v") / F.sum("v").over(column))
         m = m.withColumn("top", F.max("v").over(column)).where((F.col("v") >= PRUNE) | (F.col("v") == F.col("top")))
-        return m.select("i", "j", (F.col("v") / F.sum("v").over(column)).alias("v"))
+        return m.select("i", "j", (F.col("v") / F.sum("v").over(column)).cast("float").alias("v"))
 
-    loops = edges.groupBy("a").agg(F.max("w").alias("w")).select(F.col("a").alias("i"), F.col("a").alias("j"), F.col("w").alias("v"))
-    m = cut(settle(edges.select(F.col("b").alias("i"), F.col("a").alias("j"), F.col("w").alias("v")).unionByName(loops).repartition("j"), 1.0))
+    loops = edges.groupBy("a").agg(F.max("w").alias("w")).select(F.col("a").alias("i"), F.col("a").alias("j"), F.col("w").cast("float").alias("v"))
+    m = cut(settle(edges.select(F.col("b").alias("i"), F.col("a").alias("j"), F.col("w").cast("float").alias("v")).unionByName(loops).repartition("j"), 1.0))
     for _ in range(rounds):
         left, right = m.select("i", F.col("j").alias("k"), F.col("v").alias("x")), m.select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
-        product = left.join(right, "k").select("i", "j", (F.col("x") * F.col("y")).alias("v")).repartition("j").groupBy("j", "i").agg(F.sum("v").alias("v"))
+        product = left.join(right, "k").select("i", "j", (F.col("x") * F.col("y")).cast("float").alias("v")).repartition("j").groupBy("j", "i").agg(F.sum("v").alias("v"))
         m = cut(settle(product, INFLATION))
         # settled once each column holds one entry, or a few of equal size
         chaos = m.groupBy("j").agg((F.max("v") - F.sum(F.col("v") * F.col("v"))).alias("c")).agg(F.max("c")).first()[0]
@@ -160,12 +162,14 @@ def similarity_clusters(vectors: DataFrame, vector_id: str, vector: str, thresho
     nodes = found.where(F.col("kind") == _NODE).select(F.col("a").alias("node"), F.col("b").alias("local"), F.col("w").alias("flow"), "ids")
     links = found.where(F.col("kind") == _LINK).select(F.col("a").alias("node"), "b", "w")
     # a link leaves a node of another list or the name of a group, which is a node of it
-    ends = links.join(nodes.select("node", "local"), "node").select(F.col("local").alias("a"), "b", "w").where("a <> b")
-    both = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-    edges = cut(both.groupBy("a", "b").agg(F.sum("w").alias("w")))
+    ends = links.join(nodes.select("node", "local"), "node").where("local <> b").select(F.least("local", "b").alias("a"), F.greatest("local", "b").alias("b"), "w")
+    half = ends.groupBy("a", "b").agg(F.sum("w").alias("w"))
+    turn = lambda e, *more: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), *more))
+    edges = cut(turn(half, "w"))
     markov = cut(coarse_flow(edges).withColumnRenamed("node", "local").withColumnRenamed("cluster", "markov"))
     lift = lambda e, c: e.join(markov.withColumnRenamed("local", c), c).drop(c).withColumnRenamed("markov", c)
-    between = cut(lift(lift(edges.select("a", "b"), "a"), "b").where("a <> b").distinct())
+    once = lift(lift(edges.where("a < b").select("a", "b"), "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    between = cut(turn(once))
     joined = join_connected(between).withColumnRenamed("node", "markov")
     top = markov.join(joined, "markov", "left").select("local", "markov", F.coalesce("component", "markov").alias("cluster"))
     out = nodes.join(top, "local", "left")
@@ -177,8 +181,8 @@ def similarity_clusters(vectors: DataFrame, vector_id: str, vector: str, thresho
 
 def name_clusters(members: DataFrame) -> DataFrame:
     """(cluster_id, face_id) of clusters of two or more; cluster_id is the smallest id."""
-    size = members.groupBy("cluster").agg(F.min("id").alias("cluster_id"), F.count_distinct("id").alias("size")).where("size >= 2")
-    return members.join(size, "cluster").select("cluster_id", F.col("id").alias("face_id")).distinct()
+    size = members.groupBy("cluster").agg(F.min("id").alias("cluster_id"), F.max("id").alias("last")).where("last > cluster_id").drop("last")
+    return members.select("cluster", "id").join(size, "cluster").select("cluster_id", F.col("id").alias("face_id")).distinct()
 
 
 def describe_clusters(members: DataFrame, key: str = "cluster", typical: int = 3) -> DataFrame:

@@ -189,10 +189,10 @@ def _route(quantiser, dim: int, query_only: bool, visits: bool):
                 yield pa.record_batch(
                     [
                         pa.array(at[s], pa.int32()), pa.array(block[s], pa.int32()), pa.array(role[s], pa.int8()), pa.array(lead[w], pa.int64()),
-                        pa.array([gathered[j] if m else gathered[j][:6] for j, m in zip(w, h, strict=True)], pa.list_(pa.int64())),
+                        pa.array([gathered[j] if m else gathered[j][1:6] for j, m in zip(w, h, strict=True)], pa.list_(pa.int64())),
                         pa.array([raw[j].tobytes() for j in w], pa.binary()),
                         pa.array([codes[j].tobytes() if m else b"" for j, m in zip(w, h, strict=True)], pa.binary()),
-                        pa.array(err[w], pa.float32()),
+                        pa.array(np.where(h, err[w], np.float32(0)), pa.float32()),
                     ],
                     schema=_ROW,
                 )
@@ -226,7 +226,10 @@ def read_cell(rows: pd.DataFrame, dim: int) -> tuple[Cell, np.ndarray, np.ndarra
     member = (rows["role"] == MEMBER).to_numpy()
     raw = np.frombuffer(b"".join(rows["v"]), np.float32).reshape(-1, dim)
     codes = np.frombuffer(b"".join(rows["code"][member]), np.uint8).reshape(int(member.sum()), -1)
-    cell = Cell(rows["lead"].to_numpy(), rows["role"].to_numpy(), [np.asarray(i) for i in rows["ids"]], unit(raw), int(member.sum()))
+    lead = rows["lead"].to_numpy()
+    # a member lists all its ids, others those that follow their leader
+    ids = [np.asarray(i, np.int64) if m else np.r_[a, np.asarray(i, np.int64)] for a, i, m in zip(lead, rows["ids"], member, strict=True)]
+    cell = Cell(lead, rows["role"].to_numpy(), ids, unit(raw), int(member.sum()))
     return cell, codes, rows["err"].to_numpy()[member]
 
 
