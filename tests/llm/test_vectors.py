@@ -29,7 +29,7 @@ def brute(x, q=None):
     out = {}
     for i, row in enumerate(s):
         order = [j for j in np.lexsort((np.arange(len(x)), -row)) if row[j] >= 0.85 and (q is not None or j != i)]
-        out[i + 1] = [j + 1 for j in order[:5]]
+        out[i + 1] = [int(j) + 1 for j in order[:5]]
     return out
 
 

@@ -278,8 +278,10 @@ def scan_cells(index: DataFrame, dim: int, quantiser, threshold: float, reduce:
 
 
 def _best(owner: np.ndarray, sim: np.ndarray, cand: np.ndarray, k: int) -> np.ndarray:
-    """Positions of each owner's k best by similarity, then smaller candidate."""
+    """Positions of each owner's k best distinct candidates by similarity, then smaller candidate."""
     o = np.lexsort((cand, -sim, owner))
+    if len(o):  # copies of one row in several batches are one candidate
+        o = o[np.r_[True, (owner[o[1:]] != owner[o[:-1]]) | (cand[o[1:]] != cand[o[:-1]])]]
     own = owner[o]
     start = np.r_[True, own[1:] != own[:-1]]
     rank = np.arange(len(o)) - np.nonzero(start)[0][np.cumsum(start) - 1]
