@@ -23,7 +23,7 @@ def adaptive(frames: DataFrame, fps: float, params: Sampling) -> DataFrame:
     While active every short stride is processed; when nobody was seen for ``idle_after_s`` the recording goes
     idle, its long stride looks for somebody, and when there is one it rewinds a little and is active anew. A
     new epoch starts with each wake-up. Frames are taken in order, so a recording is one task; recordings are
-    independent. Frames that were processed are not processed twice.
+    independent. No frame is processed twice while active; one looked at while idle may come again after rewinding.
     """
     active, idle = params.strides(fps)
     after, back = params.idle_after_s * fps, int(round(params.rewind_s * fps))
@@ -34,8 +34,7 @@ def adaptive(frames: DataFrame, fps: float, params: Sampling) -> DataFrame:
         mode, epoch, last, done, out = "active", 0, at, -1, []
         while at <= end:
             if at in seen:
-                if at > done or mode == "active":
-                    out.append((key[0], len(out), at, mode, epoch))
+                out.append((key[0], len(out), at, mode, epoch))
                 hit = bool(seen[at])
                 if mode == "idle" and hit:
                     mode, epoch, last = "active", epoch + 1, at
@@ -43,7 +42,8 @@ def adaptive(frames: DataFrame, fps: float, params: Sampling) -> DataFrame:
                     continue
                 if hit:
                     last = at
-                done = max(done, at)
+                if mode == "active":
+                    done = at
                 if mode == "active" and at - last >= after:
                     mode = "idle"
             at += active if mode == "active" else idle
