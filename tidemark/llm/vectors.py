@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 LIST_ROWS, BLOCK_ROWS = 1000, 8192
 #: The fit reads at most this many vectors per centroid, and in all; no more centroids than MAX_LISTS are broadcast.
 SAMPLE_PER_LIST, MAX_SAMPLE, MAX_LISTS = 48, 262_144, 16_384
-#: A query visits the lists whose centroid is at most PROBE_MARGIN less similar than its nearest, MAX_PROBES at most.
-PROBE_MARGIN, MAX_PROBES = 0.08, 6
+#: A vector visits the lists whose centroid is at most PROBE_MARGIN less similar than its nearest, MAX_PROBES at most. Of two indexed
+#: vectors either may visit the other's list; a pure query must come itself, so it goes further.
+PROBE_MARGIN, MAX_PROBES = 0.07, 8
+QUERY_MARGIN, QUERY_PROBES = 0.1, 10
 SUBSPACES, CODEWORDS = 16, 256
 _QUERY_BLOCK = 512
 
@@ -172,7 +174,7 @@ def _route(quantiser, dim: int, query_only: bool, visits: bool):
             gathered = [np.unique(g) for g in gathered]
             raw, lead = raw[first], ids[first]
             x = unit(raw).astype(np.float32)
-            lists, go = qz.nearest(x, MAX_PROBES, PROBE_MARGIN)
+            lists, go = qz.nearest(x, QUERY_PROBES, QUERY_MARGIN) if query_only else qz.nearest(x, MAX_PROBES, PROBE_MARGIN)
             if not visits:
                 go[:, 1:] = False
             codes, err = qz.encode(x, lists[:, 0]) if not query_only else (np.zeros((len(x), 1), np.uint8), np.zeros(len(x), np.float32))
@@ -288,7 +290,7 @@ def _best(owner: np.ndarray, sim: np.ndarray, cand: np.ndarray, k: int) -> np.nd
     return o[rank < k]
 
 
-_FOUND_DDL = "query boolean, lead bigint, ids array<bigint>, cand array<bigint>, sim array<double>"
+_FOUND_DDL = "query boolean, lead bigint, ids array<bigint>, cand array<bigint>, micro array<int>"
 
 
 def _top(k: int):
@@ -314,7 +316,7 @@ def _top(k: int):
         return pd.DataFrame({
             "query": cell.role[who] == QUERY, "lead": cell.lead[who],
             "ids": [cell.ids[w] if cell.role[w] == MEMBER else cell.ids[w][:0] for w in who],
-            "cand": np.split(cand, cut[1:]), "sim": np.split(sim, cut[1:]),
+            "cand": np.split(cand, cut[1:]), "micro": np.split(np.rint(sim * 1e6).astype(np.int32), cut[1:]),
         })
 
     return reduce
@@ -340,8 +342,8 @@ def nearest_vectors(base: DataFrame, queries: DataFrame | None, base_id: str, ba
         index = index.unionByName(build_queries(queries.select(F.col(query_id).cast("bigint").alias("id"), F.col(query_vector).alias("v")), dim, shared))
     found = scan_cells(index, dim, shared, threshold, _top(k), _FOUND_DDL)
     # per leader: what its own list and the lists it visited found, and who its copies are
-    pairs = F.flatten(F.collect_list(F.transform(F.arrays_zip("sim", "cand"), lambda x: F.struct((-x.sim).alias("s"), x.cand.alias("c")))))
+    pairs = F.flatten(F.collect_list(F.transform(F.arrays_zip("micro", "cand"), lambda x: F.struct((-x.micro).alias("s"), x.cand.alias("c")))))
     lead = found.groupBy("query", "lead").agg(F.array_sort(F.array_distinct(pairs)).alias("best"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
     each = lead.select("query", F.explode(F.array_distinct(F.concat(F.array("lead"), "ids"))).alias("id"), F.slice("best", 1, k + 1).alias("best"))
     mine = F.slice(F.filter("best", lambda x: F.col("query") | (x.c != F.col("id"))), 1, k)
-    return each.select("query", "id", F.posexplode(mine).alias("rank", "n")).select("query", "id", F.col("n.c").alias("neighbour"), (F.col("rank") + 1).alias("rank"), (-F.col("n.s")).alias("similarity"))
+    return each.select("query", "id", F.posexplode(mine).alias("rank", "n")).select("query", "id", F.col("n.c").alias("neighbour"), (F.col("rank") + 1).alias("rank"), (-F.col("n.s") / 1e6).alias("similarity"))
