@@ -39,8 +39,7 @@ LEADS = (
     "gast", "kunde", "kundin", "namens", "gezeichnet", "bitte", "grüßen", "gruß", "grüße", "unterschrift", "von", "mit", "kollege", "kollegin", "dienst", "kassierer", "kassiererin", "getauscht mit",
     "подпись", "посетитель", "сотрудник", "по имени", "от имени", "покупатель", "гость", "клиент", "спросите", "теперь", "с уважением", "уважением", "кассир", "говорил с", "передал", "ключи",
 )
-#: Lead-ins after which a name may stand in lower case, and those of them that show a person.
-LOWER_LEADS = ("swapped with", "ask", "спросите", "теперь", "bitte", "getauscht mit", "jetzt", "frag", "spoke with")
+#: Lead-ins that show a person also where the name stands in lower case.
 SHOWING_LEADS = ("swapped with", "ask", "спросите", "getauscht mit", "spoke with")
 _TLD = r"(?:example|test|invalid|localhost|com|org|net|info|biz|de|ru|uk|eu|io|su|at|ch|рф)"
 #: Street words.
@@ -91,7 +90,7 @@ def _patterns() -> dict[str, object]:
     town_en = rf"{stop_en}(?:{cap})(?:[  ]{stop_en}{cap})?"
     town_any = rf"{stop_en}\p{{L}}[\p{{L}}\-]+(?:[  ]{stop_en}\p{{L}}[\p{{L}}\-]+)?"
     # a town starts with a capital; in a text without capitals it reaches to the next stop word or sign
-    en = lambda word, town: rf"(?<![\p{{L}}\d\-])(?:(?i:flat|apartment|apt\.?|unit|suite)\s+\d+\w?{sep})?\d{{1,4}}[A-Za-z]?\s+(?:{word}\s+){{1,3}}?(?i:{_EN_STREET})\b\.?(?:,\s*{town}(?:,?\s+\d{{5}}\b)?|\s+{town}\s+\d{{5}}\b|,?\s+\d{{5}}\b)?"
+    en = lambda word, town: rf"(?<![\p{{L}}\d\-.,:=])(?:(?i:flat|apartment|apt\.?|unit|suite)\s+\d+\w?{sep})?\d{{1,4}}[A-Za-z]?\s+(?:{word}\s+){{1,3}}?(?i:{_EN_STREET})\b\.?(?:,\s*{town}(?:,?\s+\d{{5}}\b)?|\s+{town}\s+\d{{5}}\b|,?\s+\d{{5}}\b)?"
     street_de = rf"(?:[\p{{L}}\-]+(?i:{_DE_STREET})|(?:\p{{L}}[\p{{L}}\-]+[  ])+(?i:{_DE_STREET}))(?:\.|\b)\s*\d{{1,4}}(?:[  ]?[a-zA-Z])?(?!\p{{L}}|\d)"
     town_de = r"\p{L}[\p{L}\-]+(?:[  ](?:am|an der|im|bei|ob der)[  ]\p{Lu}[\p{L}\-]+)?"
     de = rf"(?<![\p{{L}}\d\-])(?:\d{{5}}\s+{town_de},?\s+)?{street_de}(?:,\s*(?!(?i:nicht|und|bitte|aber|sondern|den|die)\b)(?:\d{{5}}\s+)?{town_de}|\s+\d{{5}}\s+{town_de})?"
@@ -112,13 +111,11 @@ def _patterns() -> dict[str, object]:
             (regex.compile(_RU_STREET, i), regex.compile(ru)),
             (regex.compile(rf"{_DE_STREET}\.?\s*\d", i), regex.compile(de)),
             (regex.compile(rf"\d[A-Za-z]?\s[^\d,.]{{2,60}}{_EN_STREET}\b", i), regex.compile(en(cap, town_en))),
-            (regex.compile(rf"\d[A-Za-z]?\s[^\d,.]{{2,60}}{_EN_STREET}\b", i), regex.compile(en(r"\p{L}[\p{L}'’\-]+", town_any))),
+            (regex.compile(rf"\d[A-Za-z]?\s[^\d,.]{{2,60}}{_EN_STREET}\b", i), regex.compile(en(r"(?!(?:the|an?|this|that|to|of)\b)\p{Ll}[\p{Ll}\p{M}'’\-]+", town_any))),
         ],
         "word": regex.compile(rf"(?P<initial>\p{{Lu}}\.)(?!\p{{L}}\.)|{_WORD}"),
         "gap": regex.compile(rf",?{_GAP}+"),
         "lead": regex.compile(rf"(?:^|(?<![\p{{L}}\-]))(?:{'|'.join(map(regex.escape, sorted(TITLES + LEADS, key=len, reverse=True)))})[\s:,]+$", i),
-        "title": regex.compile(rf"(?:^|(?<![\p{{L}}\-]))(?:{'|'.join(map(regex.escape, sorted(TITLES, key=len, reverse=True)))}){_GAP}+$", i),
-        "lower": regex.compile(rf"(?:^|(?<![\p{{L}}\-]))(?:{'|'.join(LOWER_LEADS)}){_GAP}+$", i),
         "at": regex.compile(r"[@＠\[({]|\s"),
         "showing": regex.compile(rf"(?:^|(?<![\p{{L}}\-]))(?:{'|'.join(SHOWING_LEADS)}){_GAP}+$", i),
         "split": regex.compile(r"[^\p{L}]+"),
@@ -154,7 +151,9 @@ def formed_mentions(text: str, mail_only: bool = False) -> list[tuple[int, int,
             for m in form.finditer(text):
                 take("address", m.start(), m.end())
     for m in p["phone"].finditer(text):
-        if 9 <= sum(map(str.isdigit, m.group())) <= 18:
+        number = m.group()
+        # digits without any sign between them are a number only with a plus or in full national length
+        if 9 <= sum(map(str.isdigit, number)) <= 18 and not (number.isdigit() and len(number) < 11):
             take("phone", m.start(), m.end())
     return found
 
@@ -186,12 +185,11 @@ def name_candidates(text: str, taken: list[tuple[int, int, str]], leads: bool) -
         lower = s == "l" and t == "l"
         if "x" in (s, t) or (s, t) == ("I", "I") or ("l" in (s, t) and not lower):
             continue
-        before = text[max(0, a - 24) : a]
         if lower:
-            if "," not in text[b:c] and p["lower"].search(before):
-                yield a, d, w.casefold(), v.casefold(), leads and p["showing"].search(before) is not None
+            if "," not in text[b:c] and (not leads or p["showing"].search(text[max(0, a - 24) : a])):
+                yield a, d, w.casefold(), v.casefold(), leads
             continue
-        lead = p["lead"].search(before) if leads else None
+        lead = p["lead"].search(text[max(0, a - 24) : a]) if leads else None
         # in a text all in capitals the word after a lead-in may be any
         shown = lead is not None and ({s, t} != {"U"} or not lead.group().isupper())
         # given name, middle initial and family name are one candidate, and the halves two more
