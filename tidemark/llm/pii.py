@@ -106,6 +106,7 @@ def _patterns() -> dict[str, object]:
             (regex.compile(rf"{_GAP}(?:dot|точка){_GAP}", i), regex.compile(rf"{edge}{spelt}{end}", i)),
         ],
         "phone": regex.compile(phone, i),
+        "digits": regex.compile(r"\d[\d   .\-/()]{7,}\d"),
         "id_number": regex.compile(ident, i),
         "address": [
             (regex.compile(_RU_STREET, i), regex.compile(ru)),
@@ -115,9 +116,9 @@ def _patterns() -> dict[str, object]:
         ],
         "word": regex.compile(rf"(?P<initial>\p{{Lu}}\.)(?!\p{{L}}\.)|{_WORD}"),
         "gap": regex.compile(rf",?{_GAP}+"),
-        "lead": regex.compile(rf"(?:^|(?<![\p{{L}}\-]))(?:{'|'.join(map(regex.escape, sorted(TITLES + LEADS, key=len, reverse=True)))})[\s:,]+$", i),
+        "lead": regex.compile(rf"(?:^|(?<![\p{{L}}\-]))(?:{'|'.join(map(regex.escape, sorted(TITLES + LEADS, key=len, reverse=True)))})[\s:,]+", i),
         "at": regex.compile(r"[@＠\[({]|\s"),
-        "showing": regex.compile(rf"(?:^|(?<![\p{{L}}\-]))(?:{'|'.join(SHOWING_LEADS)}){_GAP}+$", i),
+        "showing": regex.compile(rf"(?:^|(?<![\p{{L}}\-]))(?:{'|'.join(SHOWING_LEADS)}){_GAP}+", i),
         "split": regex.compile(r"[^\p{L}]+"),
     }
 
@@ -137,9 +138,12 @@ def formed_mentions(text: str, mail_only: bool = False) -> list[tuple[int, int,
             found.append((a, b, kind))
 
     for hint, form in p["email"]:
-        if hint.search(text):
-            for m in form.finditer(text):
+        end = 0
+        for h in hint.finditer(text):
+            # a local part has 64 signs at most, a domain 255
+            for m in form.finditer(text, max(end, h.start() - 100), h.end() + 300):
                 take("email", m.start(), m.end())
+                end = m.end()
     if mail_only or not any(map(str.isdigit, text)):
         return found
     for m in p["id_number"].finditer(text):
@@ -150,11 +154,12 @@ def formed_mentions(text: str, mail_only: bool = False) -> list[tuple[int, int,
         if hint.search(text):
             for m in form.finditer(text):
                 take("address", m.start(), m.end())
-    for m in p["phone"].finditer(text):
-        number = m.group()
-        # digits without any sign between them are a number only with a plus or in full national length
-        if 9 <= sum(map(str.isdigit, number)) <= 18 and not (number.isdigit() and len(number) < 11):
-            take("phone", m.start(), m.end())
+    for h in p["digits"].finditer(text):
+        for m in p["phone"].finditer(text, max(0, h.start() - 2), h.end() + 24):
+            number = m.group()
+            # digits without any sign between them are a number only with a plus or in full national length
+            if 9 <= sum(map(str.isdigit, number)) <= 18 and not (number.isdigit() and len(number) < 11):
+                take("phone", m.start(), m.end())
     return found
 
 
@@ -176,24 +181,34 @@ def name_candidates(text: str, taken: list[tuple[int, int, str]], leads: bool) -
     for a, b, _ in taken:
         used[a:b] = True
     words = [(m.start(), m.end(), m.group()) for m in p["word"].finditer(text)]
-    touch = [p["gap"].fullmatch(text[x[1] : y[0]]) or (x[1] == y[0] and x[2][-1] == ".") for x, y in zip(words, words[1:])]
-    for i, near in enumerate(touch):
+    shapes = [_shape(w) for *_, w in words]
+    # where a lead-in ends, and whether it is all in capitals
+    lead_at = {m.end(): m.group().isupper() for m in p["lead"].finditer(text)} if leads else {}
+    shown_at = {m.end() for m in p["showing"].finditer(text)} if leads else set()
+
+    def near(i: int) -> bool:
+        x, y = words[i], words[i + 1]
+        between = text[x[1] : y[0]]
+        return between == " " or bool(p["gap"].fullmatch(between)) or (not between and x[2][-1] == ".")
+
+    for i in range(len(words) - 1):
+        s, t = shapes[i], shapes[i + 1]
+        lower = s == "l"
+        if lower != (t == "l") or "x" in (s, t) or (s == "I" and t == "I"):
+            continue
         (a, b, w), (c, d, v) = words[i], words[i + 1]
-        if not near or used[a] or used[c]:
+        if lower and leads and a not in shown_at:
             continue
-        s, t = _shape(w), _shape(v)
-        lower = s == "l" and t == "l"
-        if "x" in (s, t) or (s, t) == ("I", "I") or ("l" in (s, t) and not lower):
+        if used[a] or used[c] or not near(i):
             continue
         if lower:
-            if "," not in text[b:c] and (not leads or p["showing"].search(text[max(0, a - 24) : a])):
+            if "," not in text[b:c]:
                 yield a, d, w.casefold(), v.casefold(), leads
             continue
-        lead = p["lead"].search(text[max(0, a - 24) : a]) if leads else None
         # in a text all in capitals the word after a lead-in may be any
-        shown = lead is not None and ({s, t} != {"U"} or not lead.group().isupper())
+        shown = a in lead_at and not (s == t == "U" and lead_at[a])
         # given name, middle initial and family name are one candidate, and the halves two more
-        if t == "I" and s != "I" and i + 1 < len(touch) and touch[i + 1] and not used[words[i + 2][0]] and _shape(words[i + 2][2]) in "TU":
+        if t == "I" and s != "I" and i + 2 < len(words) and shapes[i + 2] in "TU" and near(i + 1) and not used[words[i + 2][0]]:
             yield a, words[i + 2][1], w.casefold(), words[i + 2][2].casefold(), shown
         yield a, d, "" if s == "I" else w.casefold(), "" if t == "I" else v.casefold(), shown
 
