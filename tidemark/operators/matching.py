@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,14 +41,10 @@ def group_flags(matches: DataFrame, right_id: str) -> DataFrame:
 
 def sync_diff(existing: DataFrame, desired: DataFrame, key: str, compare: Sequence[str]) -> DataFrame:
     """(key, status): create, update, unchanged or delete, by a full join on distinct keys; nulls compare as equal."""
-    a = existing.select(F.col(key), F.struct(*compare).alias("old"))
-    b = desired.select(F.col(key), F.struct(*compare).alias("new"))
-    status = (
-        F.when(F.col("old").isNull(), "create")
-        .when(F.col("new").isNull(), "delete")
-        .when(F.col("old").eqNullSafe(F.col("new")), "unchanged")
-        .otherwise("update")
-    )
+    a = existing.select(key, F.lit(True).alias("_a"), *[F.col(c).alias(f"_a_{c}") for c in compare])
+    b = desired.select(key, F.lit(True).alias("_b"), *[F.col(c).alias(f"_b_{c}") for c in compare])
+    same = reduce(and_, [F.col(f"_a_{c}").eqNullSafe(F.col(f"_b_{c}")) for c in compare], F.lit(True))
+    status = F.when(F.col("_a").isNull(), "create").when(F.col("_b").isNull(), "delete").when(same, "unchanged").otherwise("update")
     return a.join(b, key, "full").select(key, status.alias("status"))
 
 
