@@ -105,6 +105,10 @@ def run_to_end(spark: SparkSession, visits_path: str, gap_us: int) -> DataFrame:
     )
     marks = spark.readStream.schema(mark.schema).parquet(f"{at}/mark")
     stream = session_timers(visits.unionByName(marks), gap_us).where("group_id >= 0")
+    # state on the executors' disks, so that it may outgrow their memory
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{at}/out")
@@ -113,6 +117,9 @@ def run_to_end(spark: SparkSession, visits_path: str, gap_us: int) -> DataFrame:
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination()
+    try:
+        query.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
     out = spark.read.schema(_OUT).parquet(f"{at}/out")
     return out.select(F.col("group_id").alias("video_id"), F.col("entity").alias("person_id"), "start_us", "end_us", "n_visits")
