@@ -67,9 +67,18 @@ def test_recall_over_many_lists(spark, monkeypatch):
     assert len(got & want) / len(want) > 0.95
 
 
+def test_a_sample_too_large_for_the_driver_is_fitted_by_the_executors(spark, monkeypatch):
+    monkeypatch.setattr(V, "LIST_ROWS", 60)
+    monkeypatch.setattr(V, "DRIVER_SAMPLE", 100)
+    x = np.concatenate([looks(300, 6), np.repeat(looks(1, 1), 50, axis=0)])
+    want = {(i, j) for i, w in brute(x).items() for j in w}
+    got = {(i, j) for i, w in found(nearest_vectors(table(spark, x, BAD), None, "id", "embedding")).items() for j in w}
+    assert len(got & want) / len(want) > 0.95
+
+
 def test_estimates_never_lose_a_pair():
     x = looks(80)
-    qz = V._train(np.array([v.tobytes() for v in x], object), 64, 4, len(x), len(x), 1)
+    qz = V._train(np.array([v.tobytes() for v in x], object), 64, 4, len(x), 1)
     u = V.unit(x)
     at = np.zeros(len(x), int)
     codes, err = qz.encode(u.astype(np.float32), at)

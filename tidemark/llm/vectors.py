@@ -1,6 +1,6 @@
 """The k most similar vectors of every vector: inverted file, product-quantised residuals, exact reranking.
 
-Fit (on a bounded sample): coarse centroids, as many as one per ``LIST_ROWS`` vectors, and one codebook per
+Fit (on a sample bounded per centroid): coarse centroids, as many as one per ``LIST_ROWS`` vectors, and one codebook per
 sub-space for what is left after the centroid. Index (every row): a vector goes to the list of its nearest
 centroid with its residual's code and the length of the code's error, and visits as a query the lists whose
 centroids are nearly as near. Search: per list, tables of each query against the codebooks give, by the
@@ -24,10 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.storage import cut
+
 #: Rows a list should hold, and distinct vectors above which one is split into blocks.
 LIST_ROWS, BLOCK_ROWS = 1000, 8192
-#: The fit reads at most this many vectors per centroid, and in all; no more centroids than MAX_LISTS are broadcast.
-SAMPLE_PER_LIST, MAX_SAMPLE, MAX_LISTS = 48, 262_144, 16_384
+#: The fit reads about this many vectors per centroid; no more centroids than MAX_LISTS are broadcast (32 MB at 64 values). A sample
+#: of up to DRIVER_SAMPLE vectors is fitted on the driver, a larger one by the executors, by the same rounds.
+SAMPLE_PER_LIST, MAX_LISTS, DRIVER_SAMPLE = 48, 131_072, 262_144
+#: Rounds of the centroids' and the codebooks' fit, and residuals the codebooks are fitted to.
+ROUNDS, BOOK_ROUNDS, BOOK_SAMPLE = 8, 5, 16_384
 #: A vector visits the lists whose centroid is at most PROBE_MARGIN less similar than its nearest, MAX_PROBES at most. Of two indexed
 #: vectors either may visit the other's list; a pure query must come itself, so it goes further.
 PROBE_MARGIN, MAX_PROBES = 0.07, 8
@@ -118,10 +123,13 @@ class Quantiser:
 
 
 def fit(vectors: DataFrame, dim: int, seed: int = 7) -> Quantiser | None:
-    """A quantiser for (id, vector), from a sample by a hash of the id of at most MAX_SAMPLE rows; None without a valid vector."""
+    """A quantiser for (id, vector), from a sample by a hash of the id; None without a valid vector.
+
+    The driver sees the centroids, DRIVER_SAMPLE vectors at most, and counts per list.
+    """
     rows = vectors.count()
     lists = int(np.clip(rows // LIST_ROWS, 1, MAX_LISTS))
-    want = min(MAX_SAMPLE, max(4096, SAMPLE_PER_LIST * lists))
+    want = max(4096, SAMPLE_PER_LIST * lists)
     share = min(1.0, want / max(1, rows))
     id_col = vectors.columns[0]
 
@@ -131,31 +139,83 @@ def fit(vectors: DataFrame, dim: int, seed: int = 7) -> Quantiser | None:
             yield pa.record_batch([pa.array([v.tobytes() for v in x], pa.binary())], names=["v"])
 
     some = vectors.where(F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    raw = some.mapInArrow(read, "v binary").toPandas()["v"].unique()
-    if not len(raw):
-        return _fit_any(vectors, dim, read) if rows and share < 1 else None
-    return _train(raw, dim, lists, rows, len(raw) / share, seed)
+    sample = some.mapInArrow(read, "v binary")
+    if want > DRIVER_SAMPLE:
+        return _train_far(cut(sample.distinct()), dim, lists, share, seed)
+    raw = sample.toPandas()["v"].unique()
+    if not len(raw) and rows and share < 1:  # no valid vector in the sample: any that there are
+        raw, share = vectors.mapInArrow(read, "v binary").limit(4096).toPandas()["v"].unique(), 1.0
+    return _train(raw, dim, lists, len(raw) / share, seed) if len(raw) else None
 
 
-def _fit_any(vectors: DataFrame, dim: int, read: Callable) -> Quantiser | None:
-    """Where the sample has no valid vector: any that there are, as many as a sample may hold."""
-    raw = vectors.mapInArrow(read, "v binary").limit(4096).toPandas()["v"].unique()
-    return _train(raw, dim, 1, len(raw), len(raw), 7) if len(raw) else None
+def _floats(raw: np.ndarray, dim: int) -> np.ndarray:
+    return unit(np.frombuffer(b"".join(raw), np.float32).reshape(-1, dim)).astype(np.float32)
 
 
-def _train(raw: np.ndarray, dim: int, lists: int, rows: int, distinct: float, seed: int) -> Quantiser:
-    rng = np.random.default_rng(seed)
-    x = unit(np.frombuffer(b"".join(sorted(raw)), np.float32).reshape(-1, dim)).astype(np.float32)
-    c = _kmeans(x, min(lists, len(x)), 8, rng, True)
-    a = np.concatenate([(x[i : i + 8192] @ c.T).argmax(1) for i in range(0, len(x), 8192)])
-    share = np.bincount(a, minlength=len(c)) / len(x)
-    r = (x - c[a])[rng.permutation(len(x))[:16384]]
+def _finish(c: np.ndarray, x: np.ndarray, share: np.ndarray, distinct: float, rng: np.random.Generator) -> Quantiser:
+    """Codebooks from the residuals of ``x``, and blocks from each list's share of the distinct vectors."""
+    x = x[rng.permutation(len(x))[:BOOK_SAMPLE]]
+    r = x - c[_nearest(x, c)]
+    dim = c.shape[1]
     m = max(d for d in range(1, SUBSPACES + 1) if dim % d == 0)
     w = dim // m
-    books = np.stack([_kmeans(np.ascontiguousarray(r[:, j * w : (j + 1) * w]), CODEWORDS, 5, rng, False) for j in range(m)])
+    books = np.stack([_kmeans(np.ascontiguousarray(r[:, j * w : (j + 1) * w]), CODEWORDS, BOOK_ROUNDS, rng, False) for j in range(m)])
     return Quantiser(c, books, np.maximum(1, np.ceil(share * distinct / BLOCK_ROWS)).astype(np.int32))
 
 
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    step = max(1, (1 << 23) // len(c))
+    return np.concatenate([(x[i : i + step] @ c.T).argmax(1) for i in range(0, len(x), step)])
+
+
+def _train(raw: np.ndarray, dim: int, lists: int, distinct: float, seed: int) -> Quantiser:
+    rng = np.random.default_rng(seed)
+    x = _floats(np.sort(raw), dim)
+    c = _kmeans(x, min(lists, len(x)), ROUNDS, rng, True)
+    return _finish(c, x, np.bincount(_nearest(x, c), minlength=len(c)) / len(x), distinct, rng)
+
+
+def _train_far(sample: DataFrame, dim: int, lists: int, share: float, seed: int) -> Quantiser | None:
+    """The same rounds on the executors: each adds up its part's vectors per centroid, and the sums meet per centroid."""
+    sc = sample.sparkSession.sparkContext
+    n = sample.count()
+    if not n:
+        return None
+    some = lambda k: _floats(np.sort(sample.orderBy(F.xxhash64("v", F.lit(seed))).limit(k).toPandas()["v"].to_numpy()), dim)
+    c = some(min(lists, n))
+
+    def add(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now = shared.value
+            total, count = np.zeros(now.shape, np.float32), np.zeros(len(now), np.int64)
+            for b in batches:
+                if len(b):
+                    x = _floats(np.array(b.column(0).to_pylist(), object), dim)
+                    at = _nearest(x, now)
+                    np.add.at(total, at, x)
+                    count += np.bincount(at, minlength=len(now))
+            has = np.nonzero(count)[0]
+            yield pa.record_batch([pa.array(has, pa.int64()), pa.array(count[has], pa.int64()), pa.array([total[i].tobytes() for i in has], pa.binary())], names=["list", "n", "s"])
+
+        return run
+
+    def merge(f: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(b"".join(f["s"]), np.float32).reshape(-1, dim).sum(axis=0, dtype=np.float32)
+        return pd.DataFrame({"list": f["list"].iloc[:1], "n": [f["n"].sum()], "s": [total.tobytes()]})
+
+    counts = np.zeros(len(c), np.int64)
+    for _ in range(ROUNDS):
+        parts = sample.mapInArrow(add(sc.broadcast(c)), "list bigint, n bigint, s binary")
+        got = parts.groupBy("list").applyInPandas(merge, "list bigint, n bigint, s binary").toPandas()
+        at, counts = got["list"].to_numpy(), np.zeros(len(c), np.int64)
+        counts[at] = got["n"]
+        # a centroid that none chose stays where it is
+        total = np.frombuffer(b"".join(got["s"]), np.float32).reshape(-1, dim)
+        c = c.copy()
+        c[at] = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12)
+    return _finish(c, some(BOOK_SAMPLE), counts / n, n / share, np.random.default_rng(seed))
+
+
 def _route(quantiser, dim: int, query_only: bool, visits: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qz: Quantiser = quantiser.value
