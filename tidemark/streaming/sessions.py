@@ -1,10 +1,13 @@
 """Inactivity sessions by keyed state and event-time timers.
 
-State is kept per recording (``group``): the open sessions of each entity in it. An ordered update opens
-a session, or extends one and so resets its inactivity timeout; when the watermark passes a session's
-timeout the timer emits its final start, end and number of visits. Two updates that arrive in another
-order, or that bridge two open sessions, give the same result, as long as they are not later than
-``allowed_lateness`` behind the newest event.
+State holds the open sessions of each entity of each recording. An ordered update opens a session, or extends
+one and so resets its inactivity timeout; when the watermark passes a session's timeout the timer emits
+its final start, end and number of visits. Two updates that arrive in another order, or that bridge two open
+sessions, give the same result, as long as they are not later than ``allowed_lateness`` behind the newest event.
+
+As a call into Python costs more than a session, sessions of a hash of recordings share a state; its timer is
+that of the session first due. There are BUCKETS of these for each shuffle partition, so that a state is a
+small part of a task's data.
 """
 
 from __future__ import annotations
@@ -19,44 +22,42 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.storage import scratch_path
 
+BUCKETS = 64
 _OUT = "group_id bigint, entity bigint, start_us bigint, end_us bigint, n_visits bigint"
-_STATE = "entity array<bigint>, day array<bigint>, start array<bigint>, stop array<bigint>, n array<bigint>"
+_STATE = "recording array<bigint>, entity array<bigint>, day array<bigint>, start array<bigint>, stop array<bigint>, n array<bigint>"
 
 
-def merge_sessions(entity: np.ndarray, day: np.ndarray, start: np.ndarray, stop: np.ndarray, n: np.ndarray, gap_us: int) -> tuple[np.ndarray, ...]:
-    """Joins sessions of one entity and day whose starts are at most ``gap_us`` after the latest end so far."""
-    o = np.lexsort((start, day, entity))
-    entity, day, start, stop, n = entity[o], day[o], start[o], stop[o], n[o]
+def merge_sessions(sessions: np.ndarray, gap_us: int) -> np.ndarray:
+    """Joins rows (recording, entity, day, start, stop, n) of one recording, entity and day whose starts are at most ``gap_us`` after the latest end so far."""
+    sessions = sessions[np.lexsort(sessions.T[3::-1])]
     out: list[list[int]] = []
-    for e, d, a, b, c in zip(entity.tolist(), day.tolist(), start.tolist(), stop.tolist(), n.tolist(), strict=True):
-        if out and out[-1][0] == e and out[-1][1] == d and a - out[-1][3] <= gap_us:
-            out[-1][3] = max(out[-1][3], b)
-            out[-1][4] += c
+    for row in sessions.tolist():
+        last = out[-1] if out else None
+        if last and last[:3] == row[:3] and row[3] - last[4] <= gap_us:
+            last[4] = max(last[4], row[4])
+            last[5] += row[5]
         else:
-            out.append([e, d, a, b, c])
-    x = np.array(out, dtype=np.int64).reshape(-1, 5)
-    return tuple(x[:, i] for i in range(5))
+            out.append(row)
+    return np.array(out, dtype=np.int64).reshape(-1, 6)
 
 
 def _handler(gap_us: int):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cols = [np.array(c, dtype=np.int64) for c in state.get] if state.exists else [np.zeros(0, np.int64)] * 5
+        now = np.array(state.get, dtype=np.int64).T.reshape(-1, 6) if state.exists else np.zeros((0, 6), np.int64)
         if not state.hasTimedOut:
-            news = list(frames)
-            for i, name in enumerate(("entity", "day", "start_us", "end_us")):
-                cols[i] = np.concatenate([cols[i], *(f[name].to_numpy(np.int64) for f in news)])
-            cols[4] = np.concatenate([cols[4], *(np.ones(len(f), np.int64) for f in news)])
-            cols = list(merge_sessions(*cols, gap_us))
+            news = [f[["group_id", "entity", "day", "start_us", "end_us"]].to_numpy(np.int64) for f in frames]
+            now = merge_sessions(np.concatenate([now, *[np.c_[x, np.ones(len(x), np.int64)] for x in news]]), gap_us)
         # a timer is due once no event at or before the watermark can extend the session any more
-        due = (cols[3] + gap_us) // 1000 < state.getCurrentWatermarkMs()
-        left = [c[~due] for c in cols]
-        if len(left[0]):
-            state.update(tuple(c.tolist() for c in left))
-            state.setTimeoutTimestamp(max(int((left[3].min() + gap_us) // 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        timeout = (now[:, 4] + gap_us) // 1000
+        due = timeout < state.getCurrentWatermarkMs()
+        left = now[~due]
+        if len(left):
+            state.update(tuple(left[:, i].tolist() for i in range(6)))
+            state.setTimeoutTimestamp(max(int(timeout[~due].min()) + 1, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
         if due.any():
-            yield pd.DataFrame({"group_id": key[0], "entity": cols[0][due], "start_us": cols[2][due], "end_us": cols[3][due], "n_visits": cols[4][due]})
+            yield pd.DataFrame(now[due][:, [0, 1, 3, 4, 5]], columns=["group_id", "entity", "start_us", "end_us", "n_visits"])
 
     return run
 
@@ -69,7 +70,9 @@ def session_timers(events: DataFrame, gap_us: int, allowed_lateness: str = "1 da
     """
     keyed = events.withColumn("at", F.timestamp_micros("start_us")).withWatermark("at", allowed_lateness)
     once = keyed.dropDuplicatesWithinWatermark(["event_key"])
-    return once.groupBy("group_id").applyInPandasWithState(_handler(gap_us), _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    buckets = BUCKETS * int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucketed = once.withColumn("bucket", F.pmod(F.xxhash64("group_id"), F.lit(buckets)))
+    return bucketed.groupBy("bucket").applyInPandasWithState(_handler(gap_us), _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_end(spark: SparkSession, visits_path: str, gap_us: int) -> DataFrame:
