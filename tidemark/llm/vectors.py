@@ -27,16 +27,16 @@ from pyspark.sql import functions as F
 from tidemark.functions.storage import cut
 
 #: Rows a list should hold, and distinct vectors above which one is split into blocks.
-LIST_ROWS, BLOCK_ROWS = 1000, 8192
+LIST_ROWS, BLOCK_ROWS = 2000, 8192
 #: The fit reads about this many vectors per centroid; no more centroids than MAX_LISTS are broadcast (32 MB at 64 values). A sample
 #: of up to DRIVER_SAMPLE vectors is fitted on the driver, a larger one by the executors, by the same rounds.
-SAMPLE_PER_LIST, MAX_LISTS, DRIVER_SAMPLE = 48, 131_072, 262_144
+SAMPLE_PER_LIST, MAX_LISTS, DRIVER_SAMPLE = 96, 131_072, 262_144
 #: Rounds of the centroids' and the codebooks' fit, and residuals the codebooks are fitted to.
 ROUNDS, BOOK_ROUNDS, BOOK_SAMPLE = 8, 5, 16_384
 #: A vector visits the lists whose centroid is at most PROBE_MARGIN less similar than its nearest, MAX_PROBES at most. Of two indexed
 #: vectors either may visit the other's list; a pure query must come itself, so it goes further.
-PROBE_MARGIN, MAX_PROBES = 0.07, 8
-QUERY_MARGIN, QUERY_PROBES = 0.1, 10
+PROBE_MARGIN, MAX_PROBES = 0.07, 12
+QUERY_MARGIN, QUERY_PROBES = 0.1, 12
 SUBSPACES, CODEWORDS = 16, 256
 _QUERY_BLOCK = 512
 
