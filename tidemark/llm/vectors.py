@@ -38,7 +38,8 @@ ROUNDS, BOOK_ROUNDS, BOOK_SAMPLE = 8, 5, 16_384
 PROBE_MARGIN, MAX_PROBES = 0.07, 12
 QUERY_MARGIN, QUERY_PROBES = 0.1, 12
 SUBSPACES, CODEWORDS = 16, 256
-_QUERY_BLOCK = 512
+#: Queries scored at once: few enough that a list's estimates stay in the processor's cache.
+_QUERY_BLOCK = 64
 
 _ROW = pa.schema([("list", pa.int32()), ("block", pa.int32()), ("role", pa.int8()), ("lead", pa.int64()), ("ids", pa.list_(pa.int64())), ("v", pa.binary()), ("code", pa.binary()), ("err", pa.float32())])
 _ROW_DDL = "list int, block int, role byte, lead bigint, ids array<bigint>, v binary, code binary, err float"
@@ -303,13 +304,17 @@ def similar_pairs(cell: Cell, codes: np.ndarray, err: np.ndarray, qz: Quantiser,
     m = cell.members
     x = cell.x.astype(np.float32)
     base = x @ qz.centroids[at]
+    least = (threshold - 1e-5 - err).astype(np.float32)[:, None]
+    words = [codes[:, j].astype(np.intp) for j in range(codes.shape[1])]
     for i in range(0, len(x), _QUERY_BLOCK):
         q = x[i : i + _QUERY_BLOCK]
         tables = qz.tables(q)
         estimate = np.repeat(base[None, i : i + _QUERY_BLOCK], m, axis=0)
-        for j in range(codes.shape[1]):
-            estimate += tables[j][codes[:, j]]
-        y, row = np.nonzero(estimate >= (threshold - 1e-5 - err)[:, None])
+        part = np.empty_like(estimate)
+        for table, word in zip(tables, words, strict=True):
+            np.take(table, word, axis=0, out=part, mode="clip")
+            estimate += part
+        y, row = np.nonzero(estimate >= least)
         row = row + i
         other = row != y
         row, y = row[other], y[other]
