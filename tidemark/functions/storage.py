@@ -33,3 +33,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder once; later reads start there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` over at least as many partitions as the session has cores, for work that costs far more than moving its rows.
+
+    A scan of few splits, as of one small file, is hashed by ``by``; one of enough splits stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *by)
