@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.storage import cut
+from tidemark.functions.storage import cut, spread
 from tidemark.llm.vectors import Cell, _best, build_index, fit, scan_cells
 
 #: Strongest entries a local column keeps, inflation exponent, smallest share kept, and rounds at most.
@@ -158,7 +158,7 @@ def similarity_clusters(vectors: DataFrame, vector_id: str, vector: str, thresho
     if qz is None:
         return spark.createDataFrame([], "cluster bigint, markov bigint, id bigint, flow double")
     shared = spark.sparkContext.broadcast(qz)
-    found = cut(scan_cells(build_index(rows, dim, shared), dim, shared, threshold, _groups, _DDL))
+    found = cut(scan_cells(build_index(spread(rows, "id"), dim, shared), dim, shared, threshold, _groups, _DDL))
     nodes = found.where(F.col("kind") == _NODE).select(F.col("a").alias("node"), F.col("b").alias("local"), F.col("w").alias("flow"), "ids")
     links = found.where(F.col("kind") == _LINK).select(F.col("a").alias("node"), "b", "w")
     # a link leaves a node of another list or the name of a group, which is a node of it

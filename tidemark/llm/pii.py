@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.storage import cut
+from tidemark.functions.storage import cut, spread
 
 #: A revealing term's share of occurrences that name a person, and its mutual information with them in bits.
 MIN_SHARE, MIN_BITS = 0.15, 4.0
@@ -284,7 +284,7 @@ def find_mentions(docs: DataFrame, doc_id: str, text: str, min_share: float = MI
     repeated documents count as often as they stand there. Other columns are ignored, so names cannot clash.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"))
+    rows = spread(docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text")), "doc")
     terms = cut(term_disclosure(rows, "text").where((F.col("share") >= min_share) & (F.col("bits") >= min_bits)).select("term"))
     # a map of fixed size: it only spares the join pairs that cannot be names
     at = terms.select(F.xxhash64("term").bitwiseAND(F.lit((1 << MAP_BITS) - 1)).alias("at")).distinct().toPandas()["at"].to_numpy(np.int64)

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.storage import spread
+
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k"
 #: Fixed value: the published pattern that splits a text before this vocabulary's merges.
@@ -96,7 +98,7 @@ def token_ids(
     without an id keeps its null id if its text is short; long texts need distinct ids. Columns other than
     the two named are ignored, so their names cannot clash.
     """
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"))
+    rows = spread(docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text")), "doc")
     out, kind = ("n_tokens", "bigint") if count_only else ("ids", "array<bigint>")
     is_long = F.coalesce(F.length("text"), F.lit(0)) > chunk_chars
     short = rows.where(~is_long | F.col("doc").isNull()).mapInPandas(_encode("text", out, folder, vocabulary, count_only), f"doc bigint, {out} {kind}")

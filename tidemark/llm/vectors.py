@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.storage import cut
+from tidemark.functions.storage import cut, spread
 
 #: Rows a list should hold, and distinct vectors above which one is split into blocks.
 LIST_ROWS, BLOCK_ROWS = 2000, 8192
@@ -402,9 +402,9 @@ def nearest_vectors(base: DataFrame, queries: DataFrame | None, base_id: str, ba
     if qz is None:
         return spark.createDataFrame([], out)
     shared = spark.sparkContext.broadcast(qz)
-    index = build_index(b, dim, shared)
+    index = build_index(spread(b, "id"), dim, shared)
     if queries is not None:
-        index = index.unionByName(build_queries(queries.select(F.col(query_id).cast("bigint").alias("id"), F.col(query_vector).alias("v")), dim, shared))
+        index = index.unionByName(build_queries(spread(queries.select(F.col(query_id).cast("bigint").alias("id"), F.col(query_vector).alias("v")), "id"), dim, shared))
     found = scan_cells(index, dim, shared, threshold, _top(k), _FOUND_DDL)
     # per leader: what its own list and the lists it visited found, and who its copies are
     pairs = F.flatten(F.collect_list(F.transform(F.arrays_zip("micro", "cand"), lambda x: F.struct((-x.micro).alias("s"), x.cand.alias("c")))))
