@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import vectors as V
-from tidemark.llm.clusters import describe_clusters, join_connected, name_clusters, similarity_clusters
+from tidemark.llm.clusters import coarse_flow, describe_clusters, join_connected, name_clusters, similarity_clusters
 from tidemark.llm.vectors import nearest_vectors
 
 DDL = "id bigint, embedding array<float>, lead string, list int"
@@ -131,3 +131,27 @@ def test_join_connected(spark):
     df = spark.createDataFrame(e + [(b, a) for a, b in e], "a bigint, b bigint").distinct()
     got = dict(tuple(r) for r in join_connected(df).select("node", "component").collect())
     assert all(got[i] == 0 for i in range(61)) and got[101] == 100
+
+
+def settled(n, rounds=100):
+    """Markov clusters of a chain of n nodes, each linked to the next by 1, by plain numpy until nothing changes."""
+    m = np.eye(n) + np.eye(n, k=1) + np.eye(n, k=-1)
+    m /= m.sum(axis=0)
+    for _ in range(rounds):
+        m = (m @ m) ** 2
+        m /= m.sum(axis=0)
+        m[(m < 1e-3) & (m < m.max(axis=0))] = 0
+        m /= m.sum(axis=0)
+        if (m.max(axis=0) - (m * m).sum(axis=0)).max() < 1e-3:
+            to = (m >= m.max(axis=0) * 0.99).argmax(axis=0)
+            return len(set(to[to]))
+
+
+@pytest.mark.parametrize("n, dense", [(30, 2048), (11, 10)])
+def test_coarse_flow_runs_until_columns_settle(spark, n, dense):
+    e = [(i, i + 1, 1.0) for i in range(n - 1)] + [(100, 101, 1.0)]
+    df = spark.createDataFrame(e + [(b, a, w) for a, b, w in e], "a bigint, b bigint, w double")
+    component = spark.createDataFrame([(i, 0) for i in range(n)] + [(100, 100), (101, 100)], "node bigint, component bigint")
+    got = dict(tuple(r) for r in coarse_flow(df, component, dense).select("node", "cluster").collect())
+    assert set(got) == {*range(n), 100, 101} and got[100] == got[101]
+    assert len({got[i] for i in range(n)}) == settled(n) <= n // 3

@@ -4,9 +4,10 @@ The graph has an edge wherever two vectors are at least ``threshold`` similar; i
 of the inverted file (see ``vectors``). Flow is run on it in two levels. Within a list the sparse flow matrix
 is squared, inflated and pruned until columns settle; each node goes to its attractor. Edges between these
 groups, within and across lists, make a coarser graph whose flow matrix is squared, inflated and pruned
-as a distributed sparse matrix. Attractor rows name the Markov clusters, the members that most flow passed
-through represent them. Inflation splits long chains; as a cluster here is whatever a chain of similar
-pairs joins, an exact last step joins Markov clusters that an edge connects.
+until columns settle, a component in one task or, if it is too wide, as a distributed sparse matrix. Attractor
+rows name the Markov clusters, the members that most flow passed through represent them. Inflation splits
+long chains; as a cluster here is whatever a chain of similar pairs joins, the graph's connected components,
+exact, are the clusters, and Markov clusters lie within them.
 
 No list of all pairs of a group is written: a list hands on one row per node and one per pair of groups.
 """
@@ -21,10 +22,13 @@ from pyspark.sql import functions as F
 from tidemark.functions.storage import cut, spread
 from tidemark.llm.vectors import Cell, _best, build_index, fit, scan_cells
 
-#: Strongest entries a local column keeps, inflation exponent, smallest share kept, and rounds at most.
-COLUMN, INFLATION, PRUNE, ROUNDS = 8, 2.0, 1e-3, 12
-#: Rounds at most on the coarse graph: flow then reaches over 2**4 groups.
-COARSE_ROUNDS = 4
+#: Strongest entries a local column keeps, inflation exponent, smallest share kept, and rounds at most within a list.
+COLUMN, INFLATION, PRUNE, LOCAL_ROUNDS = 8, 2.0, 1e-3, 12
+#: Largest entry less the sum of squares below which a column is settled, share by which equal entries may differ, and rounds after
+#: which flow that is not settled is an error.
+CHAOS, EQUAL, ROUNDS = 1e-3, 0.01, 100
+#: Nodes of a component that is settled in one task, as a matrix of 32 MB.
+COMPONENT_NODES = 2048
 _DDL = "kind byte, a bigint, b bigint, w double, ids array<bigint>"
 _NODE, _LINK = 0, 1
 
@@ -48,7 +52,7 @@ def local_flow(n: int, row: np.ndarray, col: np.ndarray, sim: np.ndarray) -> tup
     idx[at[row], rank + 1], val[at[row], rank + 1] = at[col], sim
     val[:, 0] = val.max(axis=1)
     val /= val.sum(axis=1, keepdims=True)
-    for turn in range(ROUNDS):
+    for turn in range(LOCAL_ROUNDS):
         k = idx[idx].reshape(len(live), -1)
         v = (val[:, :, None] * val[idx]).reshape(len(live), -1)
         o = np.argsort(k, axis=1, kind="stable")
@@ -98,9 +102,55 @@ def _groups(cell: Cell, row: np.ndarray, member: np.ndarray, s: np.ndarray) -> p
     })
 
 
-def coarse_flow(edges: DataFrame, rounds: int = COARSE_ROUNDS) -> DataFrame:
+def settle_columns(m: np.ndarray) -> np.ndarray:
+    """Attractor of each node of a batch (k, n, n) of flow matrices with columns of sum one.
+
+    Squares, inflates and prunes each matrix until its columns hold one entry, or a few of equal size.
+    """
+    m, out = m.astype(np.float64), np.zeros(m.shape[:2], np.int64)
+    live = np.arange(len(m))
+    for _ in range(ROUNDS):
+        m = (m @ m) ** INFLATION
+        m /= m.sum(axis=1, keepdims=True)
+        m[(m < PRUNE) & (m < m.max(axis=1, keepdims=True))] = 0
+        m /= m.sum(axis=1, keepdims=True)
+        done = (m.max(axis=1) - (m * m).sum(axis=1)).max(axis=1) < CHAOS
+        if done.any():
+            # argmax takes the first, so the smallest node, of the entries that are equal
+            to = (m[done] >= m[done].max(axis=1, keepdims=True) * (1 - EQUAL)).argmax(axis=1)
+            out[live[done]] = np.take_along_axis(to, to, 1)
+            live, m = live[~done], m[~done]
+        if not len(live):
+            return out
+    raise RuntimeError(f"flow still changes after {ROUNDS} rounds")
+
+
+def _whole_component(f: pd.DataFrame) -> pd.DataFrame:
+    """(node, cluster) of one component's edges (a, b, w)."""
+    names, at = np.unique(f["a"].to_numpy(), return_inverse=True)
+    m = np.zeros((len(names), len(names)))
+    m[np.searchsorted(names, f["b"].to_numpy()), at] = f["w"].to_numpy()
+    np.fill_diagonal(m, m.max(axis=0))
+    return pd.DataFrame({"node": names, "cluster": names[settle_columns((m / m.sum(axis=0))[None])[0]]})
+
+
+def coarse_flow(edges: DataFrame, component: DataFrame, dense: int = COMPONENT_NODES) -> DataFrame:
     """(node, cluster) of the Markov clustering of a weighted graph given as both directions (a, b, w) of its edges.
 
+    Flow never leaves a connected component, of which ``component`` names (node, component): one of at most ``dense`` nodes is settled
+    in one task, without a shuffle per round; only wider ones are a distributed matrix.
+    """
+    wide = component.groupBy("component").agg((F.count("*") > dense).alias("wide"))
+    kind = component.join(wide, "component").withColumnRenamed("node", "a")
+    edges = cut(edges.join(kind, "a"))
+    near = edges.where("not wide").groupBy("component").applyInPandas(_whole_component, "node bigint, cluster bigint")
+    far = edges.where("wide").select("a", "b", "w")
+    return near if far.isEmpty() else near.unionByName(distributed_flow(far))
+
+
+def distributed_flow(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(node, cluster) of the Markov clustering of a graph too wide for a task, until its columns are settled; raises if they never are.
+
     The matrix is kept as (i, j, v) with columns of sum one. A round joins it with itself on the inner
     index, sums, inflates, prunes and normalises; it is written to the shared folder, so no lineage grows.
     """
@@ -119,11 +169,14 @@ def coarse_flow(edges: DataFrame, rounds: int = COARSE_ROUNDS) -> DataFrame:
         m = cut(settle(product, INFLATION))
         # settled once each column holds one entry, or a few of equal size
         chaos = m.groupBy("j").agg((F.max("v") - F.sum(F.col("v") * F.col("v"))).alias("c")).agg(F.max("c")).first()[0]
-        if chaos is None or chaos < 1e-3:
+        if chaos is None or chaos < CHAOS:
             break
-    to = m.groupBy("j").agg(F.max_by("i", F.struct("v", -F.col("i"))).alias("cluster")).withColumnRenamed("j", "node")
+    else:
+        raise RuntimeError(f"flow still changes after {rounds} rounds")
+    top = m.withColumn("top", F.max("v").over(column)).where(F.col("v") >= F.col("top") * (1 - EQUAL))
+    to = top.groupBy("j").agg(F.min("i").alias("cluster")).withColumnRenamed("j", "node")
     up = to.select(F.col("node").alias("cluster"), F.col("cluster").alias("above"))
-    return to.join(up, "cluster", "left").select("node", F.least("cluster", F.coalesce("above", "cluster")).alias("cluster"))
+    return to.join(up, "cluster").select("node", F.col("above").alias("cluster"))
 
 
 def join_connected(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -166,12 +219,9 @@ def similarity_clusters(vectors: DataFrame, vector_id: str, vector: str, thresho
     half = ends.groupBy("a", "b").agg(F.sum("w").alias("w"))
     turn = lambda e, *more: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), *more))
     edges = cut(turn(half, "w"))
-    markov = cut(coarse_flow(edges).withColumnRenamed("node", "local").withColumnRenamed("cluster", "markov"))
-    lift = lambda e, c: e.join(markov.withColumnRenamed("local", c), c).drop(c).withColumnRenamed("markov", c)
-    once = lift(lift(edges.where("a < b").select("a", "b"), "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    between = cut(turn(once))
-    joined = join_connected(between).withColumnRenamed("node", "markov")
-    top = markov.join(joined, "markov", "left").select("local", "markov", F.coalesce("component", "markov").alias("cluster"))
+    joined = join_connected(edges)
+    markov = coarse_flow(edges, joined).select(F.col("node").alias("local"), F.col("cluster").alias("markov"))
+    top = cut(markov.join(joined.select(F.col("node").alias("local"), F.col("component").alias("cluster")), "local"))
     out = nodes.join(top, "local", "left")
     local = F.col("local")
     return out.select(
