@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import vectors as V
-from tidemark.llm.clusters import coarse_flow, describe_clusters, join_connected, name_clusters, similarity_clusters
+from tidemark.llm.clusters import coarse_flow, describe_clusters, join_connected, local_attractors, name_clusters, similarity_clusters
 from tidemark.llm.vectors import nearest_vectors
 
 DDL = "id bigint, embedding array<float>, lead string, list int"
@@ -155,3 +155,29 @@ def test_coarse_flow_runs_until_columns_settle(spark, n, dense):
     got = dict(tuple(r) for r in coarse_flow(df, component, dense).select("node", "cluster").collect())
     assert set(got) == {*range(n), 100, 101} and got[100] == got[101]
     assert len({got[i] for i in range(n)}) == settled(n) <= n // 3
+
+
+def test_flow_is_that_of_the_whole_graph(spark, monkeypatch):
+    monkeypatch.setattr(V, "LIST_ROWS", 30)  # a cluster of 40 near-equal vectors lies in several lists
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.ones((40, 64)) + rng.normal(size=(40, 64)) * 0.25, looks(20, 4)]).astype(np.float32)
+    u = V.unit(x)
+    m = np.round(u @ u.T, 6)
+    m[m < 0.85] = 0
+    np.fill_diagonal(m, 0)
+    lone = m.max(axis=0) == 0
+    np.fill_diagonal(m, np.where(lone, 1, m.max(axis=0)))
+    m /= m.sum(axis=0)
+    want = (m @ m).sum(axis=1)
+    got = {r.id: r.flow for r in similarity_clusters(table(spark, x), "id", "embedding").collect()}
+    assert np.allclose([got[i + 1] for i in range(len(x))], want, atol=1e-5)
+
+
+def test_dense_lists_keep_all_edges():
+    # two cliques of 12 equal edges, one weak link: every node has more edges than a narrow column would keep
+    s = np.kron(np.eye(2), np.full((12, 12), 0.9))
+    s[0, 12] = s[12, 0] = 0.85
+    np.fill_diagonal(s, 0)
+    row, col = np.nonzero(s)
+    assert set(local_attractors(24, row, col, s[row, col])[:12]) != set(local_attractors(24, row, col, s[row, col])[12:])
+    assert len(set(local_attractors(24, row, col, s[row, col]))) == 2

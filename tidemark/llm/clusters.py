@@ -1,105 +1,124 @@
 """Clusters of mutually similar vectors by Markov clustering of their similarity graph.
 
 The graph has an edge wherever two vectors are at least ``threshold`` similar; its edges come from the lists
-of the inverted file (see ``vectors``). Flow is run on it in two levels. Within a list the sparse flow matrix
-is squared, inflated and pruned until columns settle; each node goes to its attractor. Edges between these
+of the inverted file (see ``vectors``). Flow is run on it in two levels. Within a list the flow matrix of all its
+edges is squared, inflated and pruned until columns settle; each node goes to its attractor. Edges between these
 groups, within and across lists, make a coarser graph whose flow matrix is squared, inflated and pruned
 until columns settle, a component in one task or, if it is too wide, as a distributed sparse matrix. Attractor
 rows name the Markov clusters, the members that most flow passed through represent them. Inflation splits
 long chains; as a cluster here is whatever a chain of similar pairs joins, the graph's connected components,
 exact, are the clusters, and Markov clusters lie within them.
 
-No list of all pairs of a group is written: a list hands on one row per node and one per pair of groups.
+A list hands on one row per node and one per pair of groups. Only where the flow through the nodes is wanted do nodes carry
+their edges too, each pair of a list once and those across lists, so that it is that of the whole graph.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.storage import cut, spread
-from tidemark.llm.vectors import Cell, _best, build_index, fit, scan_cells
+from tidemark.llm.vectors import Cell, build_index, fit, scan_cells
 
-#: Strongest entries a local column keeps, inflation exponent, smallest share kept, and rounds at most within a list.
-COLUMN, INFLATION, PRUNE, LOCAL_ROUNDS = 8, 2.0, 1e-3, 12
+#: Inflation exponent and smallest share kept.
+INFLATION, PRUNE = 2.0, 1e-3
 #: Largest entry less the sum of squares below which a column is settled, share by which equal entries may differ, and rounds after
 #: which flow that is not settled is an error.
 CHAOS, EQUAL, ROUNDS = 1e-3, 0.01, 100
 #: Nodes of a component that is settled in one task, as a matrix of 32 MB.
 COMPONENT_NODES = 2048
-_DDL = "kind byte, a bigint, b bigint, w double, ids array<bigint>"
+_DDL = "kind byte, a bigint, b bigint, w double, ids array<bigint>, near array<bigint>, sim array<float>"
 _NODE, _LINK = 0, 1
 
 
-def local_flow(n: int, row: np.ndarray, col: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(attractor of each of n nodes, flow through each): Markov clustering of a graph given by both directions of its edges."""
-    flow = np.ones(n)
-    attractor = np.arange(n)
-    if not len(row):
-        return attractor, flow
-    keep = _best(row, sim, col, COLUMN - 1)
-    row, col, sim = row[keep], col[keep], sim[keep]
-    live = np.unique(row)
-    at = np.full(n, -1)
-    at[live] = np.arange(len(live))
-    # an edge may be among the strongest of one end only; both keep it as far as there is room
-    idx = np.tile(np.arange(len(live))[:, None], (1, COLUMN))
-    val = np.zeros((len(live), COLUMN))
-    start = np.r_[True, row[1:] != row[:-1]]
-    rank = np.arange(len(row)) - np.nonzero(start)[0][np.cumsum(start) - 1]
-    idx[at[row], rank + 1], val[at[row], rank + 1] = at[col], sim
-    val[:, 0] = val.max(axis=1)
-    val /= val.sum(axis=1, keepdims=True)
-    for turn in range(LOCAL_ROUNDS):
-        k = idx[idx].reshape(len(live), -1)
-        v = (val[:, :, None] * val[idx]).reshape(len(live), -1)
-        o = np.argsort(k, axis=1, kind="stable")
-        k, v = np.take_along_axis(k, o, 1), np.take_along_axis(v, o, 1)
-        new = np.ones(k.shape, bool)
-        new[:, 1:] = k[:, 1:] != k[:, :-1]
-        first = np.nonzero(new.ravel())[0]
-        v = np.add.reduceat(v.ravel(), first)
-        column, k = first // new.shape[1], k.ravel()[first]
-        if turn == 0:
-            flow[live] = np.bincount(k, v, len(live))
-        v **= INFLATION
-        v /= np.bincount(column, v, len(live))[column]
-        keep = _best(column, v, k, COLUMN)
-        keep = keep[v[keep] >= PRUNE]
-        column, k, v = column[keep], k[keep], v[keep]
-        v /= np.bincount(column, v, len(live))[column]
-        start = np.r_[True, column[1:] != column[:-1]]
-        rank = np.arange(len(column)) - np.nonzero(start)[0][np.cumsum(start) - 1]
-        was, idx, val = val, np.tile(np.arange(len(live))[:, None], (1, COLUMN)), np.zeros((len(live), COLUMN))
-        idx[column, rank], val[column, rank] = k, v
-        if (val[:, 0] > 0.99).all() or np.allclose(was, val, atol=1e-4):
+def local_attractors(n: int, row: np.ndarray, col: np.ndarray, sim: np.ndarray) -> np.ndarray:
+    """Attractor of each of n nodes: Markov clustering of a graph given by both directions of its edges, all of them.
+
+    Flow stays in a connected component, so components are matrices of their own, those of one size a batch.
+    """
+    label = np.arange(n)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, row, label[col])
+        low = low[low]
+        if (low == label).all():
             break
-    to = idx[:, 0]
-    for _ in range(6):
-        to = to[to]
-    attractor[live] = live[np.minimum(to, to[to])]
-    return attractor, flow
-
-
-def _groups(cell: Cell, row: np.ndarray, member: np.ndarray, s: np.ndarray) -> pd.DataFrame:
-    m = cell.members
-    inner = row < m
-    attractor, flow = local_flow(m, row[inner], member[inner], s[inner])
-    group = cell.lead[attractor[member]] if m else np.zeros(0, np.int64)
-    other = np.where(inner, cell.lead[attractor[np.where(inner, row, 0)]] if m else 0, cell.lead[row] if len(row) else 0)
-    ends = np.stack([other, group], axis=1)[other != group]
-    weight = s[other != group]
-    pair, at = np.unique(ends, axis=0, return_inverse=True) if len(ends) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-    weight = np.bincount(at.ravel(), weight, len(pair))
-    return pd.DataFrame({
-        "kind": np.r_[np.full(m, _NODE), np.full(len(pair), _LINK)].astype(np.int8),
-        "a": np.r_[cell.lead[:m], pair[:, 0]],
-        "b": np.r_[cell.lead[attractor], pair[:, 1]],
-        "w": np.r_[flow, weight],
-        "ids": [*cell.ids[:m], *[np.zeros(0, np.int64)] * len(pair)],
-    })
+        label = low
+    order = np.argsort(label, kind="stable")
+    _, first, size = np.unique(label[order], return_index=True, return_counts=True)
+    at = np.empty(n, np.int64)
+    at[order] = np.arange(n) - np.repeat(first, size)
+    number = np.empty(n, np.int64)
+    number[order] = np.repeat(np.arange(len(size)), size)
+    attractor = np.arange(n)
+    by_size = np.argsort(size[number[row]], kind="stable")
+    bounds = np.searchsorted(size[number[row]][by_size], np.arange(n + 2))
+    for k in np.unique(size[size > 1]):
+        which = np.nonzero(size == k)[0]
+        mine = by_size[bounds[k] : bounds[k + 1]]
+        place = np.searchsorted(which, number[row[mine]])
+        step = max(1, (1 << 22) // int(k * k))
+        for i in range(0, len(which), step):
+            here = mine[(place >= i) & (place < i + step)]
+            m = np.zeros((min(step, len(which) - i), k, k))
+            m[np.searchsorted(which, number[row[here]]) - i, at[col[here]], at[row[here]]] = sim[here]
+            m[:, np.arange(k), np.arange(k)] = m.max(axis=1)
+            to = settle_columns(m / m.sum(axis=1, keepdims=True))
+            nodes = order[first[which[i : i + step]][:, None] + np.arange(k)]
+            attractor[nodes] = np.take_along_axis(nodes, to, 1)
+    return attractor
+
+
+def _groups(pairs: bool):
+    def reduce(cell: Cell, row: np.ndarray, member: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+        m = cell.members
+        inner = row < m
+        attractor = local_attractors(m, row[inner], member[inner], s[inner])
+        group = cell.lead[attractor[member]] if m else np.zeros(0, np.int64)
+        other = np.where(inner, cell.lead[attractor[np.where(inner, row, 0)]] if m else 0, cell.lead[row] if len(row) else 0)
+        ends = np.stack([other, group], axis=1)[other != group]
+        weight = s[other != group]
+        pair, at = np.unique(ends, axis=0, return_inverse=True) if len(ends) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+        weight = np.bincount(at.ravel(), weight, len(pair))
+        # each pair of the list once, and those with members of other lists
+        use = np.nonzero((~inner | (row < member)) & pairs)[0]
+        use = use[np.argsort(member[use], kind="stable")]
+        cuts = np.searchsorted(member[use], np.arange(1, m))
+        none = np.zeros(0, np.int64)
+        return pd.DataFrame({
+            "kind": np.r_[np.full(m, _NODE), np.full(len(pair), _LINK)].astype(np.int8),
+            "a": np.r_[cell.lead[:m], pair[:, 0]],
+            "b": np.r_[cell.lead[attractor], pair[:, 1]],
+            "w": np.r_[np.zeros(m), weight],
+            "ids": [*cell.ids[:m], *[none] * len(pair)],
+            "near": [*(np.split(cell.lead[row[use]], cuts) if m else []), *[none] * len(pair)],
+            "sim": [*(np.split(s[use].astype(np.float32), cuts) if m else []), *[none.astype(np.float32)] * len(pair)],
+        })
+
+    return reduce
+
+
+def through_flow(nodes: DataFrame) -> DataFrame:
+    """(node, flow) of (node, near, sim), which hold each edge of the whole graph at one end or at both: the row sums of the squared flow matrix.
+
+    Of M, with loops as strong as a node's strongest edge and columns of sum one, these are M (M 1), so two passes over the edges do.
+    """
+    half = nodes.select("node", F.explode(F.arrays_zip("near", "sim")).alias("e")).select(F.col("node").alias("a"), F.col("e.near").alias("b"), F.col("e.sim").alias("s"))
+    both = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")).repartition("a")
+    each = both.groupBy("a", "b").agg(F.max("s").alias("s")).groupBy("a").agg(F.collect_list(F.struct("b", "s")).alias("e"), F.max("s").cast("double").alias("loop"), F.sum(F.col("s").cast("double")).alias("sum"))
+    each = cut(each.select(F.col("a").alias("node"), "e", "loop", (F.col("sum") + F.col("loop")).alias("sum")))
+
+    def send(rows: DataFrame, x: Column) -> DataFrame:
+        rows = rows.withColumn("x", x / F.col("sum"))
+        loops = rows.select("node", (F.col("loop") * F.col("x")).alias("flow"))
+        return loops.unionByName(rows.select("x", F.explode("e").alias("e")).select(F.col("e.b").alias("node"), (F.col("e.s") * F.col("x")).alias("flow"))).groupBy("node").agg(F.sum("flow").alias("flow"))
+
+    flow = send(each.join(send(each, F.lit(1.0)), "node"), F.col("flow"))
+    # sums in another order differ in the last digits only
+    return nodes.select("node").join(flow, "node", "left").select("node", F.round(F.coalesce("flow", F.lit(1.0)), 9).alias("flow"))
 
 
 def settle_columns(m: np.ndarray) -> np.ndarray:
@@ -107,10 +126,11 @@ def settle_columns(m: np.ndarray) -> np.ndarray:
 
     Squares, inflates and prunes each matrix until its columns hold one entry, or a few of equal size.
     """
-    m, out = m.astype(np.float64), np.zeros(m.shape[:2], np.int64)
+    out = np.zeros(m.shape[:2], np.int64)
     live = np.arange(len(m))
     for _ in range(ROUNDS):
-        m = (m @ m) ** INFLATION
+        m = m @ m
+        np.power(m, INFLATION, out=m)
         m /= m.sum(axis=1, keepdims=True)
         m[(m < PRUNE) & (m < m.max(axis=1, keepdims=True))] = 0
         m /= m.sum(axis=1, keepdims=True)
@@ -197,9 +217,9 @@ def join_connected(edges: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"components still change after {rounds} rounds")
 
 
-def similarity_clusters(vectors: DataFrame, vector_id: str, vector: str, threshold: float = 0.85, dim: int = 64) -> DataFrame:
+def similarity_clusters(vectors: DataFrame, vector_id: str, vector: str, threshold: float = 0.85, dim: int = 64, flow: bool = True) -> DataFrame:
     """(cluster, markov, id, flow): each valid vector's row; ``cluster`` numbers whatever chains of pairs join that are at least
-    ``threshold`` similar, ``markov`` the Markov cluster inside it, ``flow`` what passed through the vector.
+    ``threshold`` similar, ``markov`` the Markov cluster inside it, ``flow`` what passed through the vector (null without ``flow``, which spares writing the edges).
 
     A vector like no other makes a cluster of its own. Vectors that are null, of another length than
     ``dim``, not finite or all zero, and rows without id, are left out; exact copies are one vector with
@@ -211,8 +231,8 @@ def similarity_clusters(vectors: DataFrame, vector_id: str, vector: str, thresho
     if qz is None:
         return spark.createDataFrame([], "cluster bigint, markov bigint, id bigint, flow double")
     shared = spark.sparkContext.broadcast(qz)
-    found = cut(scan_cells(build_index(spread(rows, "id"), dim, shared), dim, shared, threshold, _groups, _DDL))
-    nodes = found.where(F.col("kind") == _NODE).select(F.col("a").alias("node"), F.col("b").alias("local"), F.col("w").alias("flow"), "ids")
+    found = cut(scan_cells(build_index(spread(rows, "id"), dim, shared), dim, shared, threshold, _groups(flow), _DDL))
+    nodes = found.where(F.col("kind") == _NODE).select(F.col("a").alias("node"), F.col("b").alias("local"), "ids", "near", "sim")
     links = found.where(F.col("kind") == _LINK).select(F.col("a").alias("node"), "b", "w")
     # a link leaves a node of another list or the name of a group, which is a node of it
     ends = links.join(nodes.select("node", "local"), "node").where("local <> b").select(F.least("local", "b").alias("a"), F.greatest("local", "b").alias("b"), "w")
@@ -223,6 +243,7 @@ def similarity_clusters(vectors: DataFrame, vector_id: str, vector: str, thresho
     markov = coarse_flow(edges, joined).select(F.col("node").alias("local"), F.col("cluster").alias("markov"))
     top = cut(markov.join(joined.select(F.col("node").alias("local"), F.col("component").alias("cluster")), "local"))
     out = nodes.join(top, "local", "left")
+    out = out.join(through_flow(nodes), "node") if flow else out.withColumn("flow", F.lit(None).cast("double"))
     local = F.col("local")
     return out.select(
         F.coalesce("cluster", local).alias("cluster"), F.coalesce("markov", local).alias("markov"), F.explode("ids").alias("id"), "flow"

@@ -44,12 +44,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity_clusters(read_table(spark, sf_dir, "faces").select("id", "embedding"), "id", "embedding")
+def _cluster_members(spark: SparkSession, sf_dir: str, flow: bool = True) -> DataFrame:
+    return similarity_clusters(read_table(spark, sf_dir, "faces").select("id", "embedding"), "id", "embedding", flow=flow)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return name_clusters(_cluster_members(spark, sf_dir))
+    return name_clusters(_cluster_members(spark, sf_dir, flow=False))
 
 
 def p7_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
