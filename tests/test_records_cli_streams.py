@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark import cli
 from tidemark.operators import records as R
+from tidemark.plans import records as plans
 from tidemark.sources import files
 from tidemark.streaming.points import stream_first_per_key, stream_point_sessions
 
@@ -86,3 +87,20 @@ def test_streams_of_points(spark, tmp_path):
         df.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}c")).trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.k, r.n) for r in spark.read.parquet(str(tmp_path / "s")).collect()) == [("a", 1), ("a", 2), ("b", 1)]
     assert spark.read.parquet(str(tmp_path / "f")).count() == 3
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_every_counted_visit_is_linked_to_its_merged_session(spark):
+    visits = spark.read.parquet(f"{DATA}/visits.parquet").where("not coalesce(is_staff, false)")
+    links = plans.visit_session_links(spark, DATA)
+    assert links.count() == links.select("event_key").distinct().count() == visits.select("event_key").distinct().count()
+    assert links.select("session_key").distinct().count() < links.count()
+    assert {r.n for r in plans.visit_link_assertions(spark, DATA).collect()} == {0}
+    alone = plans.visit_links(spark, DATA).withColumn("w", F.concat(F.lit("session_"), F.sha2("event_key", 256)))
+    assert alone.count() > 0 and alone.where("w <> session_key").isEmpty()
+
+
+def test_links_to_visits_that_are_not_loaded_are_counted(spark):
+    v = spark.createDataFrame([("a",), ("b",)], "event_key string")
+    s = spark.createDataFrame([("s", ["a", "x", "y"])], "session_key string, event_keys array<string>")
+    assert [r.n for r in R.link_violations(v, s).orderBy("n").collect()] == [1, 2]

@@ -44,6 +44,13 @@ def link_visits(visits: DataFrame, sessions: DataFrame) -> DataFrame:
     return sessions.select("session_key", F.explode("event_keys").alias("event_key")).join(visits.select("event_key").distinct(), "event_key").select("event_key", "session_key")
 
 
+def link_violations(visits: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(check, n): event keys that sessions link but no visit has, and visits that no session links."""
+    linked = sessions.select(F.explode("event_keys").alias("event_key"))
+    count = lambda a, b, name: a.join(b, "event_key", "left_anti").agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n")
+    return count(linked, visits.select("event_key"), "linked visits not loaded").unionByName(count(visits.select("event_key"), linked, "loaded visits not linked"))
+
+
 def anchor_frame(offset_s: Column, fps: Column, frames: Column) -> Column:
     """Frame of an offset, rounded half to even; null where it is outside the recording."""
     at = F.rint(offset_s * fps).cast("bigint")

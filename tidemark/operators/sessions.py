@@ -29,8 +29,8 @@ def first_per_event(visits: DataFrame) -> DataFrame:
     return visits.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def merge_visits(visits: DataFrame, gap_us: int) -> DataFrame:
-    """Sessions of visits: a row per session with bounds, frames, count, estimate flag, duration and key.
+def merge_visits(visits: DataFrame, gap_us: int, keys: bool = False) -> DataFrame:
+    """Sessions of visits: a row per session with bounds, frames, count, estimate flag, duration and key; with ``keys`` also its ``event_keys``.
 
     Staff visits do not count. Visits without person are sessions of their own. Others go by recording
     and person in the order of entry frame (nulls last) and id; the next visit continues a session if it has
@@ -68,7 +68,8 @@ def merge_visits(visits: DataFrame, gap_us: int) -> DataFrame:
         (F.max("_out") - F.min("_in")).alias("_us"),
     )
     key = F.concat(F.lit("session_"), F.sha2(F.array_join("_keys", "|"), 256))
-    return out.withColumn("session_key", key).withColumn("duration_us", F.when(F.col("_us") >= 0, F.col("_us"))).drop("_keys", "_us", "_no")
+    out = out.withColumn("session_key", key).withColumn("duration_us", F.when(F.col("_us") >= 0, F.col("_us"))).drop("_us", "_no")
+    return out.withColumnRenamed("_keys", "event_keys") if keys else out.drop("_keys")
 
 
 def point_sessions(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:

@@ -45,11 +45,25 @@ def anchor_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "events").select("event_id", start.alias("start_us"), source.alias("source"))
 
 
+def _counted_and_sessions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    visits = read_table(spark, sf_dir, "visits")
+    return S.first_per_event(visits).where("not coalesce(is_staff, false)"), S.merge_visits(visits, 90_000_000, keys=True)
+
+
+def visit_session_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every counted visit, linked to its merged session."""
+    return R.link_visits(*_counted_and_sessions(spark, sf_dir))
+
+
 def visit_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visits of guests without a known person, linked to the session each makes."""
-    visits = S.first_per_event(read_table(spark, sf_dir, "visits")).where("person_id is null and not coalesce(is_staff, false)")
-    sessions = visits.select(F.concat(F.lit("session_"), F.sha2("event_key", 256)).alias("session_key"), F.array("event_key").alias("event_keys"))
-    return R.link_visits(visits, sessions)
+    """Visits of guests without a known person, linked to their sessions among all merged sessions."""
+    visits, sessions = _counted_and_sessions(spark, sf_dir)
+    return R.link_visits(visits.where("person_id is null"), sessions)
+
+
+def visit_link_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of linked visits that are not loaded, and of counted visits without a session."""
+    return R.link_violations(*_counted_and_sessions(spark, sf_dir))
 
 
 def match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +104,7 @@ def local_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        staff_upsert, video_durations, anchor_frames, manual_starts, anchor_resolution, visit_links, match_cascade, visit_unlink, sync_counts, metadata_merge, local_days,
+        staff_upsert, video_durations, anchor_frames, manual_starts, anchor_resolution, visit_links, visit_session_links, visit_link_assertions, match_cascade, visit_unlink, sync_counts, metadata_merge, local_days,
     )
 }
 _STAFF = r"""
