@@ -181,3 +181,15 @@ def test_dense_lists_keep_all_edges():
     row, col = np.nonzero(s)
     assert set(local_attractors(24, row, col, s[row, col])[:12]) != set(local_attractors(24, row, col, s[row, col])[12:])
     assert len(set(local_attractors(24, row, col, s[row, col]))) == 2
+
+
+@pytest.mark.parametrize("k", [2, 9])
+def test_a_visitor_brings_as_many_copies_as_k_needs(k):
+    import pyarrow as pa
+
+    x = looks(40)
+    qz = V._train(np.array([v.tobytes() for v in x], object), 64, 4, len(x), 1)
+    monkey = type("Shared", (), {"value": V.Quantiser(qz.centroids, qz.books, np.full_like(qz.blocks, 2))})  # two blocks: every vector visits one
+    same = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array([[float(a) for a in x[0]]] * 20, pa.list_(pa.float32()))], names=["id", "v"])
+    rows = pa.Table.from_batches(V._route(monkey, 64, False, True, k + 1)(iter([same]))).to_pylist()
+    assert {len(r["ids"]) for r in rows if r["role"] == V.VISITOR} == {k}

@@ -217,7 +217,7 @@ def _train_far(sample: DataFrame, dim: int, lists: int, share: float, seed: int)
     return _finish(c, some(BOOK_SAMPLE), counts / n, n / share, np.random.default_rng(seed))
 
 
-def _route(quantiser, dim: int, query_only: bool, visits: bool):
+def _route(quantiser, dim: int, query_only: bool, visits: bool, copies: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qz: Quantiser = quantiser.value
         for batch in batches:
@@ -252,7 +252,7 @@ def _route(quantiser, dim: int, query_only: bool, visits: bool):
                 yield pa.record_batch(
                     [
                         pa.array(at[s], pa.int32()), pa.array(block[s], pa.int32()), pa.array(role[s], pa.int8()), pa.array(lead[w], pa.int64()),
-                        pa.array([gathered[j] if m else gathered[j][1:6] for j, m in zip(w, h, strict=True)], pa.list_(pa.int64())),
+                        pa.array([gathered[j] if m else gathered[j][1:copies] for j, m in zip(w, h, strict=True)], pa.list_(pa.int64())),
                         pa.array([raw[j].tobytes() for j in w], pa.binary()),
                         pa.array([codes[j].tobytes() if m else b"" for j, m in zip(w, h, strict=True)], pa.binary()),
                         pa.array(np.where(h, err[w], np.float32(0)), pa.float32()),
@@ -263,14 +263,14 @@ def _route(quantiser, dim: int, query_only: bool, visits: bool):
     return run
 
 
-def build_index(vectors: DataFrame, dim: int, quantiser, visits: bool = True) -> DataFrame:
-    """Every valid vector's rows (``_ROW_DDL``) in its list and in the lists it visits."""
-    return vectors.mapInArrow(_route(quantiser, dim, False, visits), _ROW_DDL)
+def build_index(vectors: DataFrame, dim: int, quantiser, visits: bool = True, copies: int = 1) -> DataFrame:
+    """Every valid vector's rows (``_ROW_DDL``) in its list and in the lists it visits; a visitor brings the ids of ``copies`` of its equals, itself included."""
+    return vectors.mapInArrow(_route(quantiser, dim, False, visits, copies), _ROW_DDL)
 
 
 def build_queries(vectors: DataFrame, dim: int, quantiser) -> DataFrame:
     """Rows that search the lists, but are not found themselves."""
-    return vectors.mapInArrow(_route(quantiser, dim, True, True), _ROW_DDL)
+    return vectors.mapInArrow(_route(quantiser, dim, True, True, 1), _ROW_DDL)
 
 
 @dataclass
@@ -402,7 +402,7 @@ def nearest_vectors(base: DataFrame, queries: DataFrame | None, base_id: str, ba
     if qz is None:
         return spark.createDataFrame([], out)
     shared = spark.sparkContext.broadcast(qz)
-    index = build_index(spread(b, "id"), dim, shared)
+    index = build_index(spread(b, "id"), dim, shared, copies=k + 1)
     if queries is not None:
         index = index.unionByName(build_queries(spread(queries.select(F.col(query_id).cast("bigint").alias("id"), F.col(query_vector).alias("v")), "id"), dim, shared))
     found = scan_cells(index, dim, shared, threshold, _top(k), _FOUND_DDL)
