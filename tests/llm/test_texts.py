@@ -119,3 +119,15 @@ def test_names_are_learnt_from_the_corpus(spark):
     clean = {r.doc_id: r.text for r in sanitise(d, "doc_id", "text").collect()}
     assert clean[900] == "[NAME] knows the zone. Tarn Hollow is a town. [NAME] wrote." and clean[901] is None and clean[902] == "" and clean[904] == texts[904]
     assert clean[0] == "Ms [NAME] says no." and len(clean) == len(texts)
+
+
+@pytest.mark.parametrize("blank", ["\u00a0", "\u202f"])
+def test_a_number_with_other_blanks_throughout_is_found(blank):
+    number = blank.join("+7 921 20 59 28 0".split())
+    assert [(number, "phone")] == [(text[a:b], k) for text in [f"tel {number} ok"] for a, b, k in formed_mentions(text)]
+
+
+@pytest.mark.parametrize("gap", range(1, 24))
+def test_a_number_after_another_run_is_whole(gap):
+    text = "12.05.2024 10" + "x" * gap + ", +49 30 2312 5103 77 ok"
+    assert "+49 30 2312 5103 77" in [text[a:b] for a, b, k in formed_mentions(text) if k == "phone"]

@@ -10,6 +10,7 @@ initial, whose disclosure passes the thresholds are a name, with or without a le
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -106,7 +107,8 @@ def _patterns() -> dict[str, object]:
             (regex.compile(rf"{_GAP}(?:dot|точка){_GAP}", i), regex.compile(rf"{edge}{spelt}{end}", i)),
         ],
         "phone": regex.compile(phone, i),
-        "digits": regex.compile(r"\d[\d   .\-/()]{7,}\d"),
+        "digits": regex.compile(rf"\d(?:[\d()]|{s}){{7,}}\d"),
+        "run": regex.compile(rf"\d(?:(?:[()]|{s})*\d)*"),
         "id_number": regex.compile(ident, i),
         "address": [
             (regex.compile(_RU_STREET, i), regex.compile(ru)),
@@ -154,8 +156,14 @@ def formed_mentions(text: str, mail_only: bool = False) -> list[tuple[int, int,
         if hint.search(text):
             for m in form.finditer(text):
                 take("address", m.start(), m.end())
-    for h in p["digits"].finditer(text):
-        for m in p["phone"].finditer(text, max(0, h.start() - 2), h.end() + 24):
+    hits = list(p["digits"].finditer(text))
+    runs = [m.span() for m in p["run"].finditer(text)] if hits else []
+    for h in hits:
+        # room for an extension; an end within another run would cut the number that stands there
+        end = h.end() + 24
+        while (i := bisect_left(runs, (end, 0)) - 1) >= 0 and runs[i][1] >= end:
+            end = runs[i][1] + 24
+        for m in p["phone"].finditer(text, max(0, h.start() - 2), end):
             number = m.group()
             # digits without any sign between them are a number only with a plus or in full national length
             if 9 <= sum(map(str.isdigit, number)) <= 18 and not (number.isdigit() and len(number) < 11):
