@@ -1,4 +1,5 @@
 import os
+import shutil
 from datetime import datetime, timedelta
 
 import pytest
@@ -104,3 +105,29 @@ def test_links_to_visits_that_are_not_loaded_are_counted(spark):
     v = spark.createDataFrame([("a",), ("b",)], "event_key string")
     s = spark.createDataFrame([("s", ["a", "x", "y"])], "session_key string, event_keys array<string>")
     assert [r.n for r in R.link_violations(v, s).orderBy("n").collect()] == [1, 2]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_sync_deletes_recordings_without_sessions(spark, tmp_path):
+    src, out = tmp_path / "tables", str(tmp_path / "sessions")
+    visits = spark.read.parquet(f"{DATA}/visits.parquet").where("video_id is not null")
+    visits.write.parquet(str(src / "visits.parquet"))
+    cli.main(["sync-visit-sessions", str(src), out], spark)
+    gone = visits.agg(F.min("video_id")).first()[0]
+    visits.where(f"video_id <> {gone}").write.parquet(str(tmp_path / "later" / "visits.parquet"))
+    assert cli.main(["sync-visit-sessions", str(tmp_path / "later"), out], spark)["delete"] > 0
+    assert cli.main(["sync-visit-sessions", str(tmp_path / "later"), out], spark)["delete"] == 0
+    assert spark.read.parquet(out).where(f"video_id = {gone}").isEmpty()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_matches_of_sessions_without_bounds_survive(spark, tmp_path):
+    src, out = str(tmp_path / "tables"), str(tmp_path / "matches")
+    shutil.copytree(DATA, src)
+    first = cli.main(["match-receipts", src, out], spark)
+    one = spark.read.parquet(out).agg(F.min("visit_session_id")).first()[0]
+    os.remove(f"{src}/visit_sessions.parquet")
+    s = spark.read.parquet(f"{DATA}/visit_sessions.parquet")
+    s.withColumn("left_at", F.when(F.col("id") != one, F.col("left_at"))).write.parquet(f"{src}/visit_sessions.parquet")
+    assert cli.main(["match-receipts", src, out], spark)["delete"] == 0
+    assert spark.read.parquet(out).count() == first["create"]

@@ -55,23 +55,31 @@ def register_staff(spark: SparkSession, path: str, out: str) -> dict[str, int]:
 
 
 def sync_sessions(spark: SparkSession, sf_dir: str, out: str, params: Params, dry_run: bool) -> dict[str, int]:
-    """Recomputes the sessions of all visits and rewrites the recordings that hold any; with ``dry_run`` only counts the changes."""
+    """Recomputes the sessions of all visits, rewrites the recordings that hold any and deletes those that hold none any more; with ``dry_run`` only counts the changes."""
     wanted = S.merge_visits(tables.read_table(spark, sf_dir, "visits"), int(params.sessions.merge_gap_s * 1_000_000))
     compare = [c for c in wanted.columns if c != "session_key"]
-    stored = spark.read.parquet(out).select(*wanted.columns) if _exists(spark, out) else wanted.limit(0)
+    # the schema is named, as a store whose recordings are all gone holds no file to read it from
+    stored = spark.read.schema(wanted.schema).parquet(out).select(*wanted.columns) if _exists(spark, out) else wanted.limit(0)
     counts = R.status_counts(M.sync_diff(stored, wanted, "session_key", compare)).first().asDict()
     if not dry_run:
-        tables.write_partitioned(wanted, out, "video_id")
+        tables.replace_partitioned(wanted, out, "video_id")
     return counts
 
 
 def match_receipts(spark: SparkSession, sf_dir: str, out: str) -> dict[str, int]:
-    """Writes each session's receipt to ``out`` and counts what changed."""
-    wanted = plans.till_matches(spark, sf_dir).persist()
-    stored = spark.read.parquet(out).select(*wanted.columns) if _exists(spark, out) else wanted.limit(0)
+    """Writes each session's receipt to ``out`` and counts what changed; sessions without both bounds are not visited, so their stored match survives."""
+    wanted = plans.till_matches(spark, sf_dir)
+    if _exists(spark, out):
+        stored = spark.read.parquet(out).select(*wanted.columns)
+        open_ = tables.read_table(spark, sf_dir, "visit_sessions").where("entered_at is null or left_at is null").select(F.col("id").alias("visit_session_id")).distinct()
+        wanted = wanted.unionByName(stored.join(open_, "visit_session_id", "left_semi").join(wanted.select("visit_session_id"), "visit_session_id", "left_anti").select(*wanted.columns))
+    else:
+        stored = wanted.limit(0)
+    # the files read are replaced, so rows go to a folder beside them first
+    wanted.write.mode("overwrite").parquet(f"{out}.new")
+    wanted = spark.read.parquet(f"{out}.new")
     counts = R.status_counts(M.sync_diff(stored, wanted, "visit_session_id", ["receipt_id", "distance_us", "is_ambiguous", "is_group_match"])).first().asDict()
     wanted.write.mode("overwrite").parquet(out)
-    wanted.unpersist()
     return counts
 
 

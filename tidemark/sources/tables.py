@@ -52,3 +52,17 @@ def read_staff_csv(spark: SparkSession, path: str) -> DataFrame:
 def write_partitioned(df: DataFrame, path: str, by: str) -> None:
     """Rewrites only the partitions of ``by`` that ``df`` holds."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def replace_partitioned(df: DataFrame, path: str, by: str) -> None:
+    """Rewrites the partitions of ``by`` that ``df`` holds and deletes those it does not."""
+    write_partitioned(df, path, by)
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    keep = {"__HIVE_DEFAULT_PARTITION__" if r[0] is None else str(r[0]) for r in df.select(by).distinct().toLocalIterator()}
+    for folder in fs.listStatus(root):
+        name = folder.getPath().getName()
+        if name.startswith(f"{by}=") and name[len(by) + 1 :] not in keep:
+            fs.delete(folder.getPath(), True)
