@@ -111,3 +111,11 @@ def test_params():
     p = params.Params(database_url="db://u:secret@h/x")
     assert "secret" not in str(p.snapshot()) and p.digest() == params.Params().digest()
     assert params.Sampling().strides(25.0) == (3, 30)
+
+
+def test_faces_are_searched_on_every_nth_active_frame_since_wake(spark):
+    df = spark.createDataFrame([(1, i, i in (0, 10, 15, 101, 106)) for i in range(140)], "video_id bigint, frame_index bigint, seen boolean")
+    out = P.adaptive(df, 1.0, params.Sampling(1, 7, 30, 5)).orderBy("proc_seq").collect()
+    # somebody seen on the idle frame 101 starts the second epoch at 96, so its search comes at 106
+    assert [(r.frame_index, r.active_seq) for r in out if r.face_search] == [(0, 0), (10, 10), (106, 10)]
+    assert all((r.active_seq is None) == (r.mode == "idle") for r in out)

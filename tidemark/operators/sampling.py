@@ -18,26 +18,31 @@ def every(frames: DataFrame, index: str, step: int, start: int = 0, limit: int |
 
 
 def adaptive(frames: DataFrame, fps: float, params: Sampling) -> DataFrame:
-    """(video_id, proc_seq, frame_index, mode, epoch): the frames processed of (video_id, frame_index, seen).
+    """(video_id, proc_seq, frame_index, mode, epoch, active_seq, face_search): the frames processed of (video_id, frame_index, seen).
 
     While active every short stride is processed; when nobody was seen for ``idle_after_s`` the recording goes
     idle, its long stride looks for somebody, and when there is one it rewinds a little and is active anew. A
     new epoch starts with each wake-up. Frames are taken in order, so a recording is one task; recordings are
     independent. No frame is processed twice while active; one looked at while idle may come again after rewinding.
+    ``active_seq`` numbers an epoch's active frames from 0; faces are searched on every ``face_every``-th of them that shows somebody, in the
+    zone where a column ``in_zone`` says so.
     """
     active, idle = params.strides(fps)
     after, back = params.idle_after_s * fps, int(round(params.rewind_s * fps))
 
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         seen = dict(zip(f["frame_index"], f["seen"], strict=True))
+        zone = dict(zip(f["frame_index"], f["in_zone"], strict=True)) if "in_zone" in f else seen
         at, end = int(f["frame_index"].min()), int(f["frame_index"].max())
-        mode, epoch, last, done, out = "active", 0, at, -1, []
+        mode, epoch, last, done, nth, out = "active", 0, at, -1, 0, []
         while at <= end:
             if at in seen:
-                out.append((key[0], len(out), at, mode, epoch))
+                on = mode == "active"
+                out.append((key[0], len(out), at, mode, epoch, nth if on else None, on and nth % params.face_every == 0 and bool(zone[at])))
+                nth += on
                 hit = bool(seen[at])
                 if mode == "idle" and hit:
-                    mode, epoch, last = "active", epoch + 1, at
+                    mode, epoch, last, nth = "active", epoch + 1, at, 0
                     at = max(done + 1, at - back)
                     continue
                 if hit:
@@ -47,9 +52,10 @@ def adaptive(frames: DataFrame, fps: float, params: Sampling) -> DataFrame:
                 if mode == "active" and at - last >= after:
                     mode = "idle"
             at += active if mode == "active" else idle
-        return pd.DataFrame(out, columns=["video_id", "proc_seq", "frame_index", "mode", "epoch"])
+        out = pd.DataFrame(out, columns=["video_id", "proc_seq", "frame_index", "mode", "epoch", "active_seq", "face_search"])
+        return out.astype({"active_seq": "Int64"})
 
-    return frames.groupBy("video_id").applyInPandas(run, "video_id bigint, proc_seq bigint, frame_index bigint, mode string, epoch bigint")
+    return frames.groupBy("video_id").applyInPandas(run, "video_id bigint, proc_seq bigint, frame_index bigint, mode string, epoch bigint, active_seq bigint, face_search boolean")
 
 
 def with_model(frames: DataFrame, load, infer, schema: str) -> DataFrame:

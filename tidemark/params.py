@@ -20,8 +20,11 @@ class Sampling:
     idle_s: float = 1.2
     idle_after_s: float = 30.0
     rewind_s: float = 2.0
+    #: Active frames from one search for faces to the next.
+    face_every: int = 10
 
     def __post_init__(self) -> None:
+        _need(self.face_every >= 1, "sampling: face_every must be at least 1")
         _need(min(self.active_s, self.idle_s, self.idle_after_s) > 0 and self.rewind_s >= 0, "sampling: intervals must be positive")
         _need(self.idle_s > self.active_s, "sampling: the idle interval must exceed the active one")
         _need(self.rewind_s < self.idle_after_s, "sampling: rewinding must be shorter than the wait for idle")
