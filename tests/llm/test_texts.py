@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from tidemark.llm.packing import Packer, pack
+from tidemark.llm import packing
+from tidemark.llm.packing import FAN_IN, Packer, fill_figures, pack
 from tidemark.llm.pii import find_mentions, formed_mentions, sanitise, term_disclosure
 from tidemark.llm.tokens import decode_ids, encoder, token_ids
 
@@ -61,10 +62,52 @@ def test_packing_nothing(spark):
 
 
 def test_packer_keeps_bounded_windows():
-    p = Packer(10, 3)
-    for s in [6] * 50:
-        p.place(s)
-        assert len(p.free) <= 3
+    p, out = Packer(10, 3), []
+    for i, s in enumerate([6] * 50 + [4, 10]):
+        out += [x for _, items in p.place(s, (i,)) for x in items]
+        assert len(p.free) <= 3 and len(p.held) <= 3
+    assert sorted(out + [x for items in p.held.values() for x in items]) == [(i,) for i in range(52)]
+
+
+def test_repeated_items_are_each_placed(spark):
+    df = spark.createDataFrame([(1, 6), (1, 6), (2, 25)], "item bigint, n bigint")
+    got = sorted((r.item, r.piece_no, r.n) for r in pack(df, "item", "n", 10, partitions=3).collect())
+    assert got == [(1, 0, 6), (1, 0, 6), (2, 0, 10), (2, 1, 10), (2, 2, 5)]
+
+
+def test_a_merge_meets_open_windows_only(spark, monkeypatch):
+    """Items of 513 to 900 go one to a container of 1024, so none is ever filled; a merge's task still sees FAN_IN partitions' open windows only."""
+    met = []
+    merge = packing._merge_round
+
+    def watched(left, capacity, windows, salt, partitions):
+        part = packing.F.floor(packing.F.shiftright("box", 32).bitwiseAND(packing.F.lit((1 << 24) - 1)) / FAN_IN)
+        met.extend(r.n for r in left.groupBy(part).agg(packing.F.count_distinct("box").alias("n")).collect())
+        return merge(left, capacity, windows, salt, partitions)
+
+    monkeypatch.setattr(packing, "_merge_round", watched)
+    df = spark.range(20000).select("id", (513 + packing.F.col("id") % 388).alias("n"))
+    got = fill_figures(pack(df, "id", "n", 1024, windows=8, partitions=40), "n", 1024).first()
+    assert got.containers == 20000 and met and max(met) <= 8 * FAN_IN
+
+
+def test_fill(spark):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, rng.randrange(1, 600)) for i in range(4000)], "item bigint, n bigint")
+    got = fill_figures(pack(df, "item", "n", 1024, partitions=20), "n", 1024).first()
+    assert got.mean_fill > 0.98 and got.containers <= 1.02 * got.least_containers
+
+
+@pytest.mark.parametrize("size", [3, 2000])
+def test_rows_of_one_id_keep_their_own_ids(spark, size):
+    """Two texts of one id, one of them twice, and two without an id; short and longer than a chunk."""
+    rows = [(7, "ab c" * size), (7, "x yz " * size), (7, "ab c" * size), (None, "q r " * size), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    key = lambda i, x: (-1 if i is None else i, list(x))
+    want = sorted(key(i, encoder().encode_ordinary(t or "")) for i, t in rows)
+    assert sorted(key(r.doc_id, r.ids) for r in token_ids(df, "doc_id", "text", chunk_chars=700, overlap_chars=60).collect()) == want
+    counts = sorted(key(r.doc_id, [r.n_tokens]) for r in token_ids(df, "doc_id", "text", chunk_chars=700, overlap_chars=60, count_only=True).collect())
+    assert counts == sorted((i, [len(x)]) for i, x in want)
 
 
 FORMS = [

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.time import epoch_us
 from tidemark.llm.clusters import describe_clusters, name_clusters, similarity_clusters
 from tidemark.llm.nearest_time import nearest
-from tidemark.llm.packing import pack
+from tidemark.llm.packing import fill_figures, pack
 from tidemark.llm.pii import find_mentions, sanitise
 from tidemark.llm.tokens import decode_ids, token_ids
 from tidemark.llm.vectors import nearest_vectors
@@ -71,9 +71,34 @@ def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_ids(p8_ids(spark, sf_dir), "doc_id")
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", count_only=True)
+
+
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = token_ids(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", count_only=True)
-    return pack(sizes, "doc_id", "n_tokens", CAPACITY)
+    return pack(_sizes(spark, sf_dir), "doc_id", "n_tokens", CAPACITY)
+
+
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many containers there are, the least by volume, and the mean share of a container in use."""
+    return fill_figures(p9_containers(spark, sf_dir), "n_tokens", CAPACITY)
+
+
+def p9_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(documents, over_capacity, split_though_fitting, wrong_total, wrong_offsets): documents that lie in containers, and what must not be: containers
+    over capacity, texts split though they fit, texts of which tokens are missing or twice, pieces that do not begin where the piece before ends."""
+    sizes = _sizes(spark, sf_dir)
+    packed = pack(sizes, "doc_id", "n_tokens", CAPACITY).withColumnRenamed("n_tokens", "size")
+    over = packed.groupBy("container_id").agg(F.sum("size").alias("n")).agg(F.count_if(F.col("n") > CAPACITY).alias("over_capacity"))
+    per = packed.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("size").alias("placed"), F.sum((F.col("start") != F.col("piece_no") * CAPACITY).cast("int")).alias("off"))
+    both = sizes.where("n_tokens > 0").join(per, "doc_id", "full")
+    seen = both.agg(
+        F.count_if(F.col("pieces").isNotNull()).alias("documents"),
+        F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= CAPACITY)).alias("split_though_fitting"),
+        F.count_if(~F.col("placed").eqNullSafe(F.col("n_tokens"))).alias("wrong_total"),
+        F.count_if(F.col("off") > 0).alias("wrong_offsets"),
+    )
+    return seen.crossJoin(over).select("documents", "over_capacity", "split_though_fitting", "wrong_total", "wrong_offsets")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +113,8 @@ def p10_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p7_clusters": p7_clusters, "p7_markov": p7_markov,
-    "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p10_found": p10_found, "p10_sanitised": p10_sanitised,
+    "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p9_fill": p9_fill, "p9_invariants": p9_invariants,
+    "p10_found": p10_found, "p10_sanitised": p10_sanitised,
 }
 
 _P4 = """
@@ -107,4 +133,9 @@ SELECT CAST(visit_session_id AS BIGINT) AS visit_session_id, CAST(receipt_id AS
 
 _P8_DECODED = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
 
-ORACLE = {"p4_found": _P4, "p8_decoded": _P8_DECODED}
+_P9_INVARIANTS = """
+SELECT count(*) AS documents, CAST(0 AS BIGINT) AS over_capacity, CAST(0 AS BIGINT) AS split_though_fitting, CAST(0 AS BIGINT) AS wrong_total, CAST(0 AS BIGINT) AS wrong_offsets
+FROM documents WHERE text <> ''
+"""
+
+ORACLE = {"p9_invariants": _P9_INVARIANTS, "p4_found": _P4, "p8_decoded": _P8_DECODED}

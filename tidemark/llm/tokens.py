@@ -67,12 +67,17 @@ def _split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _long_pieces(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """(doc, piece_no, piece): texts cut at pre-token boundaries, which concatenate to the text."""
+    """(doc, hash, copies, piece_no, piece): texts cut at pre-token boundaries, which concatenate to the text.
+
+    A text goes by its id and its SHA-256, so two texts of one id stay apart and exact copies of a row are coded once, ``copies`` times over.
+    """
     step = chunk - overlap
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("text") - overlap - 1), F.lit(step))
-    chunks = long.select("doc", "text", F.posexplode(starts).alias("no", "at")).select("doc", "no", "at", F.substring("text", F.col("at") + 1, F.lit(chunk)).alias("chunk"))
-    cut = chunks.repartition("doc", "no").mapInPandas(_split, "doc bigint, no int, at int, chunk string, cuts array<bigint>")
-    w = Window.partitionBy("doc").orderBy("no")
+    chunks = long.select("doc", F.sha2("text", 256).alias("hash"), "text", F.posexplode(starts).alias("no", "at"))
+    chunks = chunks.select("doc", "hash", "no", "at", F.substring("text", F.col("at") + 1, F.lit(chunk)).alias("chunk"))
+    once = chunks.groupBy("doc", "hash", "no", "at", "chunk").agg(F.count("*").alias("copies"))
+    cut = once.mapInPandas(_split, "doc bigint, hash string, no int, at int, chunk string, copies bigint, cuts array<bigint>")
+    w = Window.partitionBy("doc", "hash").orderBy("no")
     # a boundary both neighbours see; a chunk's own first position is no boundary of the text, its last token may be cut off
     cut = cut.withColumn("next_cuts", F.lead("cuts").over(w)).withColumn("next_at", F.lead("at").over(w))
     seen = F.array_intersect("cuts", F.filter("next_cuts", lambda x: x > F.col("next_at")))
@@ -82,33 +87,34 @@ def _long_pieces(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
     cut = cut.withColumn("piece_no", F.sum(F.col("begin").isNotNull().cast("int")).over(w))
     # chunks without a stitch between them make one piece: each adds what follows the start of its successor's chunk
     parts = F.array_sort(F.collect_list(F.struct("no", "at", "chunk")))
-    piece = cut.groupBy("doc", "piece_no").agg(parts.alias("parts"), F.min("begin").alias("begin"), F.max("stitch").alias("stitch"))
+    piece = cut.groupBy("doc", "hash", "piece_no").agg(parts.alias("parts"), F.min("begin").alias("begin"), F.max("stitch").alias("stitch"), F.max("copies").alias("copies"))
     whole = F.array_join(F.transform("parts", lambda p, i: F.when(i == F.size("parts") - 1, p.chunk).otherwise(F.substring(p.chunk, F.lit(1), F.lit(step)))), "")
     first = F.col("parts")[0]["at"]
     size = F.coalesce(F.col("stitch"), F.lit(2**31 - 1)) - F.col("begin")
-    return piece.select("doc", "piece_no", F.substring(whole, (F.col("begin") - first + 1).cast("int"), F.least(size, F.lit(2**31 - 1)).cast("int")).alias("text"))
+    text = F.substring(whole, (F.col("begin") - first + 1).cast("int"), F.least(size, F.lit(2**31 - 1)).cast("int"))
+    return piece.select("doc", "hash", "copies", "piece_no", text.alias("text"))
 
 
 def token_ids(
     docs: DataFrame, doc_id: str, text: str, folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, count_only: bool = False
 ) -> DataFrame:
-    """(doc_id, ids array<bigint>), or (doc_id, n_tokens) with ``count_only``, for every row of ``docs``.
+    """(doc_id, ids array<bigint>), or (doc_id, n_tokens) with ``count_only``, one row for every row of ``docs``.
 
-    A null and an empty text have the empty list. Strings of special tokens are ordinary text. A row
-    without an id keeps its null id if its text is short; long texts need distinct ids. Columns other than
-    the two named are ignored, so their names cannot clash.
+    A null and an empty text have the empty list. Strings of special tokens are ordinary text. Ids may be null or
+    repeated: each row has its own text's ids, whatever its length. Columns other than the two named are ignored, so their names cannot clash.
     """
     rows = spread(docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text")), "doc")
     out, kind = ("n_tokens", "bigint") if count_only else ("ids", "array<bigint>")
     is_long = F.coalesce(F.length("text"), F.lit(0)) > chunk_chars
-    short = rows.where(~is_long | F.col("doc").isNull()).mapInPandas(_encode("text", out, folder, vocabulary, count_only), f"doc bigint, {out} {kind}")
-    pieces = _long_pieces(rows.where(is_long & F.col("doc").isNotNull()), chunk_chars, overlap_chars)
-    coded = pieces.repartition("doc", "piece_no").mapInPandas(_encode("text", out, folder, vocabulary, count_only), f"doc bigint, piece_no bigint, {out} {kind}")
+    short = rows.where(~is_long).mapInPandas(_encode("text", out, folder, vocabulary, count_only), f"doc bigint, {out} {kind}")
+    pieces = _long_pieces(rows.where(is_long), chunk_chars, overlap_chars)
+    coded = pieces.repartition("doc", "hash", "piece_no").mapInPandas(_encode("text", out, folder, vocabulary, count_only), f"doc bigint, hash string, copies bigint, piece_no bigint, {out} {kind}")
     if count_only:
-        joined = coded.groupBy("doc").agg(F.sum(out).alias(out))
+        joined = coded.groupBy("doc", "hash").agg(F.sum(out).alias(out), F.max("copies").alias("copies"))
     else:
         ordered = F.array_sort(F.collect_list(F.struct("piece_no", out)))
-        joined = coded.groupBy("doc").agg(F.flatten(F.transform(ordered, lambda x: x[out])).alias(out))
+        joined = coded.groupBy("doc", "hash").agg(F.flatten(F.transform(ordered, lambda x: x[out])).alias(out), F.max("copies").alias("copies"))
+    joined = joined.select("doc", out, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("doc", out)
     return short.unionByName(joined).withColumnRenamed("doc", doc_id)
 
 
