@@ -38,12 +38,12 @@ def test_nearest_persons_and_decision(spark):
 
 def test_reference_gallery_is_greedy_with_a_cap_per_pose(spark):
     rng = random.Random(2)
-    rows = [(i, rng.choice([1, 2]), rng.choice(["l", "r", "f", None]), rng.choice([0.1, 0.5, 0.9, None])) for i in range(80)]
-    df = spark.createDataFrame(rows, "id int, person_id int, pose_category string, identity_quality_score double")
+    rows = [(i, rng.choice([1, 2]), rng.choice(["l", "r", "f", None]), rng.choice([0.1, 0.5, 0.9, None]), i % 7 != 0, [1.0] if i % 5 else None) for i in range(80)]
+    df = spark.createDataFrame(rows, "id int, person_id int, pose_category string, identity_quality_score double, is_identity_eligible boolean, embedding array<float>")
     want = set()
     for p in (1, 2):
         n, taken = {}, []
-        for i, _, pose, q in sorted((r for r in rows if r[1] == p), key=lambda r: (r[3] is None, -(r[3] or 0), r[0])):
+        for i, _, pose, q, *_ in sorted((r for r in rows if r[1] == p and r[3] is not None and r[4] and r[5]), key=lambda r: (-r[3], r[0])):
             if len(taken) < 5 and n.get(pose, 0) < 2:
                 n[pose] = n.get(pose, 0) + 1
                 taken.append(i)
@@ -66,14 +66,16 @@ def test_polygon_edges_count_as_inside(spark):
     assert spark.range(1).select(G.floor_half(F.lit(-3)).alias("h")).first().h == -2
 
 
-@pytest.mark.parametrize("text,want", [("06-22-202f Mon10:01:58", 1782122518), ("06 22 2026 Mon 100158", 1782122518), ("13-22-2026 Mon 10:01:58", None), ("06-22-2026 Mon 10:01:58 11:02:59", 1782126179), ("06-22-2026", None), (None, None)])
+@pytest.mark.parametrize("text,want", [("06-22-202f Mon10:01:58", 1782122518), ("06 22 2026 Mon 100158", 1782122518), ("13-22-2026 Mon 10:01:58", None), ("06-22-2026 Mon 10:01:58 11:02:59", 1782126179), ("06-22-2026", None), (None, None),
+    ("06-22-2026 Tue 10 11 12", 1782123072), ("06-22-2026 Tue 10:11 12", 1782123072), ("06-22-2026 Tue 10.11.12", 1782123072), ("06-22-2026 Tue 10-11-12", 1782123072), ("06-22-2026 Tue 9:11:12", 1782119472),
+    ("06-22-2026 Tue 1011:12", 1782123072), ("06.22.2026 Tue 10:11:7", 1782123067), ("06 - 22 .2026/Tuey10:11:12", 1782123072), ("06-22-2026 Tue 25:11:12", None), ("06-22-2026 10:11:12 Tue", None)])
 def test_clock(spark, text, want):
     got = spark.createDataFrame([(text,)], "t string").select(X.clock_us(F.col("t")).alias("u")).first().u
     assert got == (None if want is None else want * 1_000_000)
 
 
 def test_amounts(spark):
-    rows = [("1 234,565 ₽", "1234.57"), ("-5", "-5.00"), ("", None), ("x", None), (None, None), ("1 0,1", "10.10")]
+    rows = [("1 234,565 ₽", "1234.57"), ("-5", "-5.00"), ("", None), ("x", None), (None, None), ("1 0,1", "10.10"), ("9999999999999,999", "10000000000000.00"), ("99999999999999", None), ("0.0049999999999999999999999999", "0.00"), ("-0,005", "-0.01")]
     got = spark.createDataFrame(rows, "t string, w string").select(X.amount(F.col("t")).cast("string").alias("a"), "w").collect()
     assert all(r.a == r.w for r in got)
 
@@ -119,3 +121,52 @@ def test_faces_are_searched_on_every_nth_active_frame_since_wake(spark):
     # somebody seen on the idle frame 101 starts the second epoch at 96, so its search comes at 106
     assert [(r.frame_index, r.active_seq) for r in out if r.face_search] == [(0, 0), (10, 10), (106, 10)]
     assert all((r.active_seq is None) == (r.mode == "idle") for r in out)
+
+
+def test_parameters_from_a_file(tmp_path):
+    at = tmp_path / "p.json"
+    at.write_text('{"time_zone": "UTC", "matching": {"after_s": 30}, "timeline": {"start_offsets_s": [0, 1]}}')
+    p = params.load(str(at))
+    assert p.time_zone == "UTC" and p.matching.after_s == 30 and p.timeline.start_offsets_s == (0, 1) and p.faces == params.Faces()
+    for bad in ('{"nowhere": 1}', '{"faces": {"max_yaw": 91}}', '{"detection": {"tracker": "other"}}', '{"matching": {"after_s": "x"}}', '{"faces": 3}', "[]"):
+        at.write_text(bad)
+        with pytest.raises(ValueError):
+            params.load(str(at))
+
+
+def test_boxes_at_the_border_crops_and_growth(spark):
+    df = spark.createDataFrame([(5, 5, 20, 20), (3, 5, 20, 20), (5, 5, 97, 20), (5, 5, 96, 96)], "a int, b int, c int, d int")
+    box = [F.col(c) for c in "abcd"]
+    got = df.select(G.clipped_at_border(*box, F.lit(100), F.lit(100), 3).alias("e"), G.expand(*box, 0.1, 0.5, 0.1, 0.0)[1].alias("g"), G.crop_bounds(*box[:2], F.col("c"), F.col("d"), F.lit(100), F.lit(26)).alias("k")).collect()
+    assert [r.e for r in got] == [False, True, True, False] and [r.g for r in got] == [-2, -2, -2, -40] and [r.k for r in got] == [True, True, False, False]
+    o = df.select(G.overlap(box, [F.lit(5), F.lit(5), F.lit(20), F.lit(35)]).alias("o"), G.overlap(box, [F.lit(0)] * 4).alias("z")).collect()
+    assert o[0].o == 0.5 and o[0].z == 0.0
+
+
+def test_detections_suppressed_by_stronger_ones(spark):
+    rows = [(1, 1, 0, 0, 10, 10, 0.9, 0), (1, 2, 1, 0, 11, 10, 0.8, 0), (1, 3, 2, 0, 12, 10, 0.7, 0), (1, 4, 50, 50, 60, 60, 0.3, 0), (1, 5, 50, 50, 60, 60, 0.9, 7), (2, 6, 0, 0, 10, 10, 0.5, 0), (2, 7, 0, 0, 10, 10, 0.5, 0)]
+    df = spark.createDataFrame(rows, "frame bigint, box bigint, x1 int, y1 int, x2 int, y2 int, confidence double, class int")
+    # 2 falls to 1; 3 overlaps 2 more than allowed, but not 1, so it stays; of equal ones the smaller id
+    assert sorted(r.box for r in P.detections(df, "frame", "box", 0.4, 0.7, 0).collect()) == [1, 3, 6]
+
+
+def test_visits_on_the_clock(spark):
+    df = spark.createDataFrame([(1, 5_000_000, 9_000_000, 1_000_000, 100_000_000, True), (2, 9, 5, 0, 0, None), (3, 1, 2, 0, None, False)], "i int, a bigint, b bigint, r bigint, k bigint, e boolean")
+    got = T.enrich_visits(df, "a", "b", "r", "k", "e").orderBy("i").collect()
+    assert [(r.entered_us, r.left_us, r.duration_us, r.visit_day, r.time_is_estimated) for r in got] == [(104_000_000, 108_000_000, 4_000_000, 0, True), (None, None, None, None, False), (None, None, None, None, False)]
+    got = df.select(T.anchor_start_us(F.col("k"), F.col("r")).alias("s"), T.anchor_end_us(F.col("k"), F.col("r"), F.lit(10)).alias("e")).collect()
+    assert [(r.s, r.e) for r in got] == [(99_000_000, 99_000_010), (0, 10), (None, None)]
+
+
+def test_reading_attempts_as_json(spark):
+    import json
+
+    df = spark.createDataFrame([(2.0, 50, 2.0, "06-22 x", 60_000_000), (5.0, 125, 5.0, None, None)], "o double, f bigint, t double, x string, c bigint")
+    got = [json.loads(r.attempt) for r in T.attempt_json(df, "o", "f", "t", "x", "c").orderBy("o").collect()]
+    assert got[0]["parsed_datetime"] == "1970-01-01T00:01:00" and got[0]["recorded_start_at"] == "1970-01-01T00:00:58" and got[0]["succeeded"]
+    assert got[1] == {"requested_offset_seconds": 5.0, "frame_index": 125, "timestamp_seconds": 5.0, "raw_text": None, "parsed_datetime": None, "recorded_start_at": None, "succeeded": False}
+
+
+def test_limit_counts_frames_that_exist(spark):
+    df = spark.createDataFrame([(i,) for i in range(60) if i != 20], "i bigint")
+    assert sorted(r.i for r in P.every(df, "i", 10, 10, 3).collect()) == [10, 30, 40]

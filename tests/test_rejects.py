@@ -25,6 +25,8 @@ CASES = {
     19: ("TT1,A,o,c, ,7,", "amount"),
     20: ('"","A","","","","",""', None),
     21: ('TT1,A,o,c,"1\u00015",7,', "amount"),
+    23: ("TT1,A,o,c,9999999999.999,7,c\u0001d", None),
+    24: ('TT1,A,o,c,0.00499999999999999999999999,7,"\u0001c,\u0001"', None),
     22: ("TT1,A,o,c,1,7," + '"' + "y" * 300_000 + '""' * 2000 + '"', None),
 }
 
@@ -36,6 +38,8 @@ def test_reasons_and_typed_rows(spark):
     loaded = {r.line_id: r for r in strict_load(df, "line_id", "raw_line").collect()}
     assert set(loaded) == {i for i, (_, r) in CASES.items() if not r}
     assert loaded[3].amount == Decimal("1234.57") and loaded[3].table_number == 12 and loaded[3].client_external_id == 'x, "y"\nz'
+    assert loaded[23].amount == Decimal("10000000000.00") and loaded[23].client_external_id == "c\u0001d"
+    assert loaded[24].amount == Decimal("0.00") and loaded[24].client_external_id == "\u0001c,\u0001"
     assert loaded[13].amount is None and loaded[20].tt is None
 
 

@@ -13,7 +13,7 @@ from tidemark.functions import text as X
 from tidemark.operators import matching as M
 from tidemark.operators import records as R
 from tidemark.operators import sessions as S
-from tidemark.params import Params
+from tidemark.params import Params, load
 from tidemark.plans import matching as plans
 from tidemark.plans import reports
 from tidemark.sources import files, tables
@@ -107,6 +107,7 @@ def register_videos(spark: SparkSession, folder: str, out: str) -> dict[str, int
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> dict:
     p = argparse.ArgumentParser(prog="tidemark")
+    p.add_argument("--config", help="file of parameters, JSON or YAML")
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("version")
     sub.add_parser("config-check")
@@ -119,7 +120,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     c.add_argument("out")
     c.add_argument("--dry-run", action="store_true")
     a = p.parse_args(argv)
-    params = Params()
+    params = load(a.config) if a.config else Params()
     if a.command == "version":
         out = {"version": __version__}
     elif a.command == "config-check":

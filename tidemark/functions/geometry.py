@@ -39,6 +39,32 @@ def clip(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height:
     return F.when(ok, a), F.when(ok, b), F.when(ok, c), F.when(ok, d)
 
 
+def clipped_at_border(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column, margin: int) -> Column:
+    """Whether a box comes within ``margin`` of its frame's border, so that what it holds may be cut off there."""
+    return (x1 <= margin) | (y1 <= margin) | (x2 >= width - margin) | (y2 >= height - margin)
+
+
+def expand(x1: Column, y1: Column, x2: Column, y2: Column, left: float, top: float, right: float, bottom: float) -> tuple[Column, Column, Column, Column]:
+    """A box grown at each side by a share of its own width or height, cut toward zero to whole pixels."""
+    w, h = x2 - x1, y2 - y1
+    whole = lambda c: c.cast("bigint")
+    return whole(x1 - w * left), whole(y1 - h * top), whole(x2 + w * right), whole(y2 + h * bottom)
+
+
+def crop_bounds(x: Column, y: Column, width: Column, height: Column, frame_width: Column, frame_height: Column) -> Column:
+    """Whether a crop at (x, y) of this size lies whole within its frame."""
+    return (x >= 0) & (y >= 0) & (width > 0) & (height > 0) & (x + width <= frame_width) & (y + height <= frame_height)
+
+
+def overlap(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    """Intersection over union of two boxes; 0 where neither has an area."""
+    w = F.greatest(F.lit(0), F.least(a[2], b[2]) - F.greatest(a[0], b[0]))
+    h = F.greatest(F.lit(0), F.least(a[3], b[3]) - F.greatest(a[1], b[1]))
+    area = lambda x: (x[2] - x[0]) * (x[3] - x[1])
+    union = area(a) + area(b) - w * h
+    return F.when(union > 0, w * h / union).otherwise(0.0)
+
+
 def center_inside(inner: Sequence[Column], outer: Sequence[Column]) -> Column:
     """Whether one box's centre lies in another, edges included."""
     cx, cy = (inner[0] + inner[2]) / 2, (inner[1] + inner[3]) / 2
@@ -62,6 +88,12 @@ def angle_score(angle: Column, limit: float) -> Column:
     return F.when(angle.isNotNull(), F.greatest(F.lit(0.0), 1 - F.abs(angle) / limit))
 
 
+def weighted_score(parts: Sequence[tuple[float, Column]]) -> Column:
+    """The weighted sum of parts, held within 0 and 1, to 6 decimals."""
+    total = sum((w * c for w, c in parts), F.lit(0.0))
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 6)
+
+
 def pose(yaw: Column, frontal: float) -> Column:
     known = yaw.isNotNull() & ~F.isnan(yaw)
     return F.when(~known, "unknown").when(F.abs(yaw) <= frontal, "frontal").when(yaw < -frontal, "left").otherwise("right")

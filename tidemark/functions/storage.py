@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none, as in local tests, a temporary folder is set.
+    Only a local session may name none, as in tests; it gets a temporary folder. Elsewhere that would be a folder of one machine, so it raises.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
         return current.get()
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="tidemark-")
     sc.setCheckpointDir(conf)
     return sc._jsc.sc().getCheckpointDir().get()

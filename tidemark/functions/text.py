@@ -13,34 +13,62 @@ def squeeze(text: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(""))
 
 
+def decimal_text(text: Column) -> Column:
+    """An amount of digits with a point as a decimal(16,2), rounded half up to cents; null where it is none or has more than 13 digits before the point."""
+    # cents depend on the third place at most, so further places are cut off, not rounded twice
+    short = F.regexp_replace(text, r"([.]\d{3})\d+\z", "$1")
+    return F.round(short.try_cast("decimal(16,3)"), 2).cast("decimal(16,2)")
+
+
 def amount(text: Column) -> Column:
     """A decimal with two places, rounded half up, from text with a currency sign, blanks and a point or comma; null where it is none."""
-    plain = F.translate(F.regexp_replace(text, r"[₽\s  ]", ""), ",", ".")
-    return plain.try_cast("decimal(38,18)").cast("decimal(12,2)")
+    return decimal_text(F.translate(F.regexp_replace(text, r"[₽\s  ]", ""), ",", "."))
+
+
+#: The forms in which a camera's clock is read, month first, in the order they are tried.
+_DATE_FORMS = (r"(\d{2})-(\d{2})-(\d{4})", r"(\d{2})[\s.-]+(\d{2})[\s.-]+(\d{4})")
+_TIME_FORMS = (
+    r"([0-2]?\d)[:.]([0-5]\d)[:.]([0-5]\d)",
+    r"([0-2]?\d)[:.\s-]+([0-5]\d)[:.\s-]+([0-5]\d)",
+    r"([0-2]\d)([0-5]\d)([0-5]\d)",
+    r"([0-2]\d)([0-5]\d)[:.]([0-5]\d)",
+    r"([0-2]?\d)[:.\s-]+([0-5]\d)[:.\s-]+(\d)",
+)
+_TIME_END = r"(?!\d)(?![:.\s-]+\d)"
 
 
 def tidy_clock(text: Column) -> Column:
-    """A clock text with usual misreadings mended: a letter for the year's last digit, a missing blank at the weekday."""
+    """A clock text with usual misreadings mended: a letter for the year's last digit, no blank or a stray sign around the weekday."""
     t = squeeze(text)
-    t = F.regexp_replace(t, r"\b(20\d)[A-Za-z]\b", "$16")
-    t = F.regexp_replace(t, rf"(?i)(\d{{4}})\s*({_DAYS})", "$1 $2")
-    return F.regexp_replace(t, rf"(?i)({_DAYS})[a-z]*\s*(\d)", "$1 $2")
+    t = F.regexp_replace(t, r"(?<=202)[fF](?=\D|$)", "6")
+    t = F.regexp_replace(t, rf"(?i)(\d{{4}})\s*[/\\-]?\s*({_DAYS})", "$1 $2 ")
+    t = F.regexp_replace(t, rf"(?i)\b({_DAYS})y?", "$1")
+    return squeeze(F.regexp_replace(t, rf"(?i)\b({_DAYS})(?=\d)", "$1 "))
 
 
 def clock_date(text: Column) -> Column:
-    """The first valid month-day-year date."""
-    found = F.regexp_extract_all(text, F.lit(r"(?<!\d)(\d{2}[- ]\d{2}[- ]\d{4})(?!\d)"), 1)
-    dates = F.transform(found, lambda d: F.try_to_date(F.translate(d, " ", "-"), "MM-dd-yyyy"))
-    return F.get(F.filter(dates, lambda d: d.isNotNull()), F.lit(0))
+    """The month-day-year date of the first form whose first place in the text is a valid date."""
+    found = [F.regexp_extract(text, rf"(?<!\d){form}(?!\d)", 0) for form in _DATE_FORMS]
+    return F.coalesce(*[F.try_to_date(F.regexp_replace(x, r"[\s.-]+", "-"), "MM-dd-yyyy") for x in found])
 
 
 def clock_time(text: Column) -> Column:
-    """Seconds of the last valid time of day, after the weekday if there is one; with colons, else as six digits."""
-    tail = F.regexp_replace(text, rf"(?i)^.*?({_DAYS})\s*", "")
-    seconds = lambda t: F.substring(t, 1, 2).cast("int") * 3600 + F.substring(t, 3, 2).cast("int") * 60 + F.substring(t, 5, 2).cast("int")
-    colons = F.transform(F.regexp_extract_all(tail, F.lit(r"(?<!\d)((?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d)(?!\d)"), 1), lambda t: seconds(F.translate(t, ":", "")))
-    digits = F.transform(F.regexp_extract_all(tail, F.lit(r"(?<!\d)((?:[01]\d|2[0-3])[0-5]\d[0-5]\d)(?!\d)"), 1), seconds)
-    return F.coalesce(F.try_element_at(colons, F.lit(-1)), F.try_element_at(digits, F.lit(-1)))
+    """Seconds of the time of day, after the weekday if there is one: the last valid place of the first form that has one."""
+    tail = F.regexp_replace(text, rf"(?is)\A.*?\b(?:{_DAYS})\b", "")
+
+    def seconds(form: str):
+        def read(place: Column) -> Column:
+            part = F.split(F.regexp_replace(place, form, "$1:$2:$3"), ":")
+            h, m, s = (part[i].cast("int") for i in range(3))
+            return F.when(h <= 23, h * 3600 + m * 60 + s)
+
+        return read
+
+    def last(form: str) -> Column:
+        places = F.regexp_extract_all(tail, F.lit(rf"(?<!\d){form}{_TIME_END}"), 0)
+        return F.try_element_at(F.filter(F.transform(places, seconds(form)), lambda x: x.isNotNull()), F.lit(-1))
+
+    return F.coalesce(*map(last, _TIME_FORMS))
 
 
 def clock_us(text: Column) -> Column:

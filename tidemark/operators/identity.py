@@ -85,9 +85,13 @@ def decide(candidates: DataFrame, threshold: float, margin: float) -> DataFrame:
 
 
 def reference_gallery(faces: DataFrame, per_person: int, per_pose: int) -> DataFrame:
-    """Each person's best faces by quality, then id: at most ``per_pose`` of a pose and ``per_person`` in all, as two ranks."""
-    order = [F.desc_nulls_last("identity_quality_score"), F.asc("id")]
-    pose = F.coalesce("pose_category", F.lit("unknown"))
+    """Each person's best faces by quality, then id: at most ``per_pose`` of a pose and ``per_person`` in all, as two ranks.
+
+    Faces without vector, person or identity quality, and those not eligible, are left out.
+    """
+    faces = faces.where("person_id is not null and is_identity_eligible and embedding is not null and identity_quality_score is not null")
+    order = [F.desc("identity_quality_score"), F.asc("id")]
+    pose = F.coalesce(F.nullif("pose_category", F.lit("")), F.lit("unknown"))
     r = faces.withColumn("_pose", pose).withColumn("_r", F.row_number().over(Window.partitionBy("person_id", "_pose").orderBy(*order))).where(F.col("_r") <= per_pose)
     r = r.withColumn("rank", F.row_number().over(Window.partitionBy("person_id").orderBy(*order))).where(F.col("rank") <= per_person)
     return r.drop("_pose", "_r")

@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import decimal_text
+
 WIDTH = 7
-#: Stands for a comma inside quotes while a record is cut; it is in no valid judged field.
-_INNER = "\u0001"
+#: While a record is cut, a comma inside quotes is this sign and ``c``, the sign itself, if a text holds it, the sign and ``s``; neither is in a valid judged field.
+_MARK = "\u0001"
 _ID, _AMOUNT, _TABLE = 1, 4, 5
 ID_FORM = r"\A[A-Za-z0-9._/-]{1,128}\z"
 AMOUNT_FORM = r"\A-?[0-9]{1,10}([.,][0-9]+)?\z"
@@ -45,19 +47,24 @@ def quoting_ok(parts: Column) -> Column:
 
 
 def fields_of(raw: Column) -> Column:
-    """The fields of a well-quoted record, unquoted; commas inside quotes come as ``_INNER``."""
-    parts = _parts(F.translate(raw, _INNER, "\u0002"))
+    """The fields of a well-quoted record, unquoted but with ``_MARK``; ``restored`` gives their texts."""
+    parts = _parts(F.replace(raw, F.lit(_MARK), F.lit(_MARK + "s")))
     last = F.size(parts) - 1
     kept = F.transform(
         parts,
-        lambda x, i: F.when(i % 2 == 1, F.translate(x, ",", _INNER)).when((x == "") & (i > 0) & (i < last), F.lit('"')).otherwise(x),
+        lambda x, i: F.when(i % 2 == 1, F.replace(x, F.lit(","), F.lit(_MARK + "c"))).when((x == "") & (i > 0) & (i < last), F.lit('"')).otherwise(x),
     )
     return F.split(F.array_join(kept, ""), ",", -1)
 
 
+def restored(field: Column) -> Column:
+    """A field's text as it stood in the record."""
+    return F.replace(F.replace(field, F.lit(_MARK + "c"), F.lit(",")), F.lit(_MARK + "s"), F.lit(_MARK))
+
+
 def amount_digits(field: Column) -> Column:
-    """An amount without currency sign and spaces, its inner comma restored."""
-    return F.translate(field, _INNER + AMOUNT_NOISE, ",")
+    """An amount without currency sign and spaces."""
+    return F.translate(restored(field), AMOUNT_NOISE, "")
 
 
 def _valid_amount(field: Column) -> Column:
@@ -71,14 +78,14 @@ def _valid_table(field: Column) -> Column:
 def strict_load(df: DataFrame, offset: str, raw: str) -> DataFrame:
     """The conforming records, typed: offset, tt, external_receipt_id, opened_at, closed_at, amount, table_number, client_external_id.
 
-    ``amount`` is rounded half up to cents; the times stay text; empty fields are null. The null record,
+    ``amount`` is rounded half up to cents, as decimal(16,2), which also holds the largest valid one rounded up; the times stay text; empty fields are null. The null record,
     having no fields, does not conform. Other columns of ``df`` are ignored, so their names cannot clash.
     """
     rows = df.select(F.col(offset).alias("offset"), F.col(raw).alias("raw"))
     rows = rows.where(F.col("raw").isNotNull() & quoting_ok(_parts(F.col("raw")))).withColumn("f", fields_of(F.col("raw")))
     f = [F.get("f", F.lit(i)) for i in range(WIDTH)]
     rows = rows.where((F.size("f") == WIDTH) & f[_ID].rlike(ID_FORM) & _valid_amount(f[_AMOUNT]) & _valid_table(f[_TABLE]))
-    text = [F.nullif(F.translate(x, _INNER, ","), F.lit("")) for x in f]
+    text = [F.nullif(restored(x), F.lit("")) for x in f]
     amount = F.nullif(F.translate(amount_digits(f[_AMOUNT]), ",", "."), F.lit(""))
     return rows.select(
         F.col("offset").alias(offset),
@@ -86,7 +93,7 @@ def strict_load(df: DataFrame, offset: str, raw: str) -> DataFrame:
         f[_ID].alias("external_receipt_id"),
         text[2].alias("opened_at"),
         text[3].alias("closed_at"),
-        amount.try_cast("decimal(38,18)").cast("decimal(12,2)").alias("amount"),
+        decimal_text(amount).alias("amount"),
         F.regexp_replace(text[_TABLE], r"\.0\z", "").try_cast("int").alias("table_number"),
         text[6].alias("client_external_id"),
     )

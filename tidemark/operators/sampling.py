@@ -8,13 +8,30 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.geometry import overlap
 from tidemark.params import Sampling
 
 
 def every(frames: DataFrame, index: str, step: int, start: int = 0, limit: int | None = None) -> DataFrame:
-    """Frames ``start``, ``start + step`` and so on, the first ``limit`` of them; as a filter on the index alone."""
+    """Frames ``start``, ``start + step`` and so on, the first ``limit`` of them that exist; without a limit a filter on the index alone."""
     out = frames.where((F.col(index) >= start) & (F.pmod(F.col(index) - start, F.lit(step)) == 0))
-    return out if limit is None else out.where(F.col(index) < start + step * limit)
+    return out if limit is None else out.orderBy(index).limit(limit)
+
+
+def detections(boxes: DataFrame, frame: str, box: str, confidence: float, max_overlap: float, person_class: int | None = None) -> DataFrame:
+    """Boxes (frame, box, x1, y1, x2, y2, confidence, class) of a class that reach a confidence, without those that overlap a stronger one that stays.
+
+    Stronger is more confident, then the smaller id. Whether a box stays depends on those before it in its frame only, so a frame's boxes
+    are folded in that order, inside the JVM; a frame holds few of them. Null coordinates, confidence and frames are left out.
+    """
+    kept = boxes.where((F.col("confidence") >= confidence) & F.col(frame).isNotNull() & F.expr("x2 > x1 and y2 > y1"))
+    if person_class is not None:
+        kept = kept.where(F.col("class") == person_class)
+    item = F.struct((-F.col("confidence")).alias("c"), F.col(box).alias("i"), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    sides = lambda r: [r[c] for c in ("x1", "y1", "x2", "y2")]
+    rows = kept.groupBy(frame).agg(F.array_sort(F.collect_list(item)).alias("_r"))
+    fold = F.aggregate("_r", F.slice("_r", 1, 0), lambda out, r: F.when(F.exists(out, lambda o: overlap(sides(o), sides(r)) > max_overlap), out).otherwise(F.concat(out, F.array(r))))
+    return rows.select(frame, F.explode(fold).alias("_k")).select(frame, F.col("_k.i").alias(box), *[F.col(f"_k.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")], (-F.col("_k.c")).alias("confidence"))
 
 
 def adaptive(frames: DataFrame, fps: float, params: Sampling) -> DataFrame:
@@ -22,8 +39,8 @@ def adaptive(frames: DataFrame, fps: float, params: Sampling) -> DataFrame:
 
     While active every short stride is processed; when nobody was seen for ``idle_after_s`` the recording goes
     idle, its long stride looks for somebody, and when there is one it rewinds a little and is active anew. A
-    new epoch starts with each wake-up. Frames are taken in order, so a recording is one task; recordings are
-    independent. No frame is processed twice while active; one looked at while idle may come again after rewinding.
+    new epoch starts with each wake-up, so going idle ends what was going on. Frames are taken in order, so a recording is one task; recordings
+    are independent. Rewinding goes back to the recording's start at most, so frames looked at before may come again.
     ``active_seq`` numbers an epoch's active frames from 0; faces are searched on every ``face_every``-th of them that shows somebody, in the
     zone where a column ``in_zone`` says so.
     """
@@ -34,7 +51,7 @@ def adaptive(frames: DataFrame, fps: float, params: Sampling) -> DataFrame:
         seen = dict(zip(f["frame_index"], f["seen"], strict=True))
         zone = dict(zip(f["frame_index"], f["in_zone"], strict=True)) if "in_zone" in f else seen
         at, end = int(f["frame_index"].min()), int(f["frame_index"].max())
-        mode, epoch, last, done, nth, out = "active", 0, at, -1, 0, []
+        start, mode, epoch, last, nth, out = at, "active", 0, at, 0, []
         while at <= end:
             if at in seen:
                 on = mode == "active"
@@ -43,12 +60,10 @@ def adaptive(frames: DataFrame, fps: float, params: Sampling) -> DataFrame:
                 hit = bool(seen[at])
                 if mode == "idle" and hit:
                     mode, epoch, last, nth = "active", epoch + 1, at, 0
-                    at = max(done + 1, at - back)
+                    at = max(start, at - back)
                     continue
                 if hit:
                     last = at
-                if mode == "active":
-                    done = at
                 if mode == "active" and at - last >= after:
                     mode = "idle"
             at += active if mode == "active" else idle

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import asdict, dataclass, field
+import os
+from dataclasses import asdict, dataclass, field, fields, is_dataclass
 
 
 def _need(ok: bool, what: str) -> None:
@@ -12,6 +13,57 @@ def _need(ok: bool, what: str) -> None:
         raise ValueError(what)
 
 
+#: The enumerations of states, policies and choices.
+CHOICES = {
+    "point_policy": ("bottom_center",),
+    "tracker": ("bytetrack", "botsort"),
+    "device": ("auto", "cpu", "mps"),
+    "ambiguity_policy": ("closest_with_flag",),
+    "group_policy": ("attach_all_with_group_flag",),
+    "formats": ("csv", "xlsx", "parquet"),
+    "run_status": ("created", "running", "finished", "failed"),
+    "end_status": ("unavailable", "valid", "calibrated", "mismatch"),
+    "anchor_source": ("ocr", "manual", "manual_required"),
+    "sync_status": ("create", "update", "unchanged", "delete"),
+    "pose": ("frontal", "left", "right", "unknown"),
+}
+
+
+@dataclass(frozen=True)
+class Detection:
+    """What counts as a detected person, and how zones and tracks are chosen."""
+
+    confidence: float = 0.4
+    overlap: float = 0.5
+    person_class: int = 0
+    device: str = "auto"
+    tracker: str = "bytetrack"
+    point_policy: str = "bottom_center"
+
+    def __post_init__(self) -> None:
+        _need(0 <= self.confidence <= 1 and 0 <= self.overlap <= 1, "detection: confidence and overlap lie in 0..1")
+        _need(self.person_class >= 0, "detection: a class is not negative")
+        for name in ("device", "tracker", "point_policy"):
+            _need(getattr(self, name) in CHOICES[name], f"detection: {name} is one of {CHOICES[name]}")
+
+
+@dataclass(frozen=True)
+class Faces:
+    """Largest angles, in degrees, and least size and confidence of a face that identifies a person."""
+
+    max_yaw: float = 40.0
+    max_pitch: float = 30.0
+    max_roll: float = 30.0
+    frontal_yaw: float = 15.0
+    min_size: int = 40
+    min_confidence: float = 0.6
+    frame_margin: int = 3
+
+    def __post_init__(self) -> None:
+        _need(all(0 <= x <= 90 for x in (self.max_yaw, self.max_pitch, self.max_roll, self.frontal_yaw)), "faces: angles lie in 0..90")
+        _need(self.min_size >= 1 and self.frame_margin >= 0 and 0 <= self.min_confidence <= 1, "faces: size, margin or confidence out of range")
+
+
 @dataclass(frozen=True)
 class Sampling:
     """Seconds between processed frames while someone is seen (active) or not (idle)."""
@@ -49,8 +101,12 @@ class Sessions:
 class Matching:
     before_s: float = 0.0
     after_s: float = 60.0
+    ambiguity_policy: str = "closest_with_flag"
+    group_policy: str = "attach_all_with_group_flag"
 
     def __post_init__(self) -> None:
+        for name in ("ambiguity_policy", "group_policy"):
+            _need(getattr(self, name) in CHOICES[name], f"matching: {name} is one of {CHOICES[name]}")
         _need(self.before_s >= 0 and self.after_s >= 0, "matching: a window reaches outward")
 
 
@@ -95,6 +151,8 @@ class Params:
     matching: Matching = field(default_factory=Matching)
     identity: Identity = field(default_factory=Identity)
     timeline: Timeline = field(default_factory=Timeline)
+    detection: Detection = field(default_factory=Detection)
+    faces: Faces = field(default_factory=Faces)
 
     def snapshot(self) -> dict:
         """All parameters, with a password in the database address masked."""
@@ -108,3 +166,38 @@ class Params:
         """SHA-256 of the parameters that bear on results, as compact JSON with sorted keys."""
         bearing = {k: v for k, v in self.snapshot().items() if k != "database_url"}
         return hashlib.sha256(json.dumps(bearing, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def _made(kind: type, values: dict, where: str):
+    known = {f.name: f for f in fields(kind)}
+    unknown = sorted(set(values) - set(known))
+    _need(not unknown, f"{where or 'parameters'}: unknown {unknown}")
+    out = {}
+    for name, value in values.items():
+        now = getattr(kind(), name)
+        if is_dataclass(now):
+            _need(isinstance(value, dict), f"{name}: a section of values")
+            out[name] = _made(type(now), value, name)
+        else:
+            _need(isinstance(value, list) if isinstance(now, tuple) else isinstance(value, (int, float)) and not isinstance(value, bool) if isinstance(now, (int, float)) else isinstance(value, type(now)), f"{where}.{name}: {value!r} is of another type")
+            out[name] = tuple(value) if isinstance(now, tuple) else value
+    return kind(**out)
+
+
+def load(path: str) -> Params:
+    """Parameters from a JSON file, or a YAML file where a YAML reader is installed; what it leaves out keeps its default.
+
+    Raises ``ValueError`` for an unknown name, another type and a value out of range.
+    """
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if os.path.splitext(path)[1].lower() in (".yaml", ".yml"):
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError(f"{path}: no YAML reader is installed, give JSON") from e
+        values = yaml.safe_load(text)
+    else:
+        values = json.loads(text)
+    _need(isinstance(values, dict), f"{path}: a mapping of sections")
+    return _made(Params, values, "")

@@ -32,8 +32,7 @@ def identity_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identity_reference_gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _faces(spark, sf_dir).where("person_id is not null and is_identity_eligible")
-    g = I.reference_gallery(f, 5, 2)
+    g = I.reference_gallery(_faces(spark, sf_dir), 5, 2)
     return g.select("person_id", F.col("id").alias("face_id"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -42,7 +41,7 @@ def best_face_per_visit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gender_mode_age_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return person_profiles(_faces(spark, sf_dir))
+    return person_profiles(_faces(spark, sf_dir)).select("person_id", "gender", "age")
 
 
 def staff_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,15 +117,16 @@ e AS (SELECT *, CASE WHEN best < 0.35 THEN 'no_match' WHEN round(best - second,
 SELECT CAST(query_id AS BIGINT) AS query_id, status, CAST(CASE WHEN status = 'matched' THEN p END AS BIGINT) AS person_id, best, second FROM e""",
     "identity_reference_gallery": """
 WITH f AS (SELECT DISTINCT ON (id) * FROM faces ORDER BY id),
-a AS (SELECT *, row_number() OVER (PARTITION BY person_id, coalesce(pose_category, 'unknown') ORDER BY identity_quality_score DESC NULLS LAST, id) AS r FROM f WHERE person_id IS NOT NULL AND is_identity_eligible),
-b AS (SELECT person_id, id AS face_id, row_number() OVER (PARTITION BY person_id ORDER BY identity_quality_score DESC NULLS LAST, id) AS rank FROM a WHERE r <= 2)
+a AS (SELECT *, row_number() OVER (PARTITION BY person_id, coalesce(nullif(pose_category, ''), 'unknown') ORDER BY identity_quality_score DESC, id) AS r FROM f
+  WHERE person_id IS NOT NULL AND is_identity_eligible AND embedding IS NOT NULL AND identity_quality_score IS NOT NULL),
+b AS (SELECT person_id, id AS face_id, row_number() OVER (PARTITION BY person_id ORDER BY identity_quality_score DESC, id) AS rank FROM a WHERE r <= 2)
 SELECT * FROM b WHERE rank <= 5""",
     "best_face_per_visit": """
 SELECT visit_id, id AS face_id FROM (SELECT *, row_number() OVER (PARTITION BY visit_id ORDER BY coalesce(is_identity_eligible, false) DESC, coalesce(identity_quality_score, 0) DESC, coalesce(quality_score, 0) DESC, id) AS k FROM (SELECT DISTINCT ON (id) * FROM faces ORDER BY id)) WHERE k = 1""",
     "gender_mode_age_median": """
 WITH f AS (SELECT *, CASE WHEN is_identity_reference THEN 2 WHEN is_identity_eligible THEN 1 ELSE 0 END AS tier FROM (SELECT DISTINCT ON (id) * FROM faces ORDER BY id) WHERE person_id IS NOT NULL),
 t AS (SELECT f.* FROM f JOIN (SELECT person_id, max(tier) AS best FROM f GROUP BY 1) b ON f.person_id = b.person_id AND f.tier = b.best),
-g AS (SELECT person_id, gender, row_number() OVER (PARTITION BY person_id ORDER BY n DESC, q DESC, gender) AS k FROM (SELECT person_id, gender, count(*) AS n, round(sum(coalesce(quality_score, 0)), 6) AS q FROM t WHERE gender IS NOT NULL GROUP BY 1, 2)),
+g AS (SELECT person_id, gender, row_number() OVER (PARTITION BY person_id ORDER BY n DESC, q DESC, gender) AS k FROM (SELECT person_id, gender, count(*) AS n, round(sum(coalesce(identity_quality_score, 0)), 6) AS q FROM t WHERE gender IN ('m', 'f') GROUP BY 1, 2)),
 a AS (SELECT person_id, round(median(age_estimate), 4) AS age FROM t GROUP BY 1)
 SELECT a.person_id, g.gender, a.age FROM a LEFT JOIN g ON a.person_id = g.person_id AND g.k = 1""",
     "staff_nearest": """

@@ -80,7 +80,11 @@ def _clock_text(ts: Column, kind: Column) -> Column:
         .when(kind == 1, F.date_format(ts, "MM dd yyyy EEE HHmmss"))
         .when(kind == 2, F.date_format(ts, "MM-dd-yyyyEEEHH:mm:ss"))
         .when(kind == 3, F.concat(F.lit("  "), F.date_format(ts, "MM-dd-yyyy   EEEy HH:mm:ss")))
-        .when(kind == 4, F.concat(F.lit("13-40-2024 "), F.date_format(ts, "EEE HH:mm:ss")))
+        .when(kind == 4, F.date_format(ts, "MM.dd.yyyy EEE H mm ss"))
+        .when(kind == 5, F.date_format(ts, "MM - dd-yyyy/EEE HHmm:ss"))
+        .when(kind == 6, F.date_format(ts, "MM-dd-yyyy\\EEE H.mm-ss"))
+        .when(kind == 7, F.concat(F.date_format(ts, "MM-dd-yyyy EEE "), F.lit("31.59.59 x "), F.date_format(ts, "HH:mm:ss"), F.lit(" x 29:00:00")))
+        .when(kind == 8, F.concat(F.lit("13-40-2024 "), F.date_format(ts, "EEE HH:mm:ss")))
         .otherwise(F.date_format(ts, "MM-dd-yyyy"))
     )
 
@@ -88,7 +92,7 @@ def _clock_text(ts: Column, kind: Column) -> Column:
 def ocr_clock_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clock texts with known faults, and what they are read as."""
     e = read_table(spark, sf_dir, "events").select("event_id", F.date_trunc("second", F.timestamp_micros(epoch_us(F.col("ts")))).alias("ts"))
-    return e.select("event_id", X.clock_us(_clock_text(F.col("ts"), F.col("event_id") % 6)).alias("clock_us"))
+    return e.select("event_id", X.clock_us(_clock_text(F.col("ts"), F.col("event_id") % 10)).alias("clock_us"))
 
 
 def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +162,7 @@ WITH a AS (SELECT event_id AS i, CASE WHEN event_id % 9 <> 0 THEN (event_id * 11
 s AS (SELECT *, coalesce((CASE WHEN yaw IS NOT NULL THEN greatest(0.0::DOUBLE, 1 - abs(yaw) / 40) END + greatest(0.0::DOUBLE, 1 - abs(pitch) / 30)) / 2, 0.5) AS straight FROM a)
 SELECT i AS event_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.30::DOUBLE * (i * 3 % 101 / 100::DOUBLE) + 0.25::DOUBLE * (i * 5 % 101 / 100::DOUBLE) + 0.20::DOUBLE * (i * 7 % 101 / 100::DOUBLE) + 0.15::DOUBLE * straight + 0.10::DOUBLE * (i * 13 % 101 / 100::DOUBLE))), 6) AS score,
   CASE WHEN yaw IS NULL THEN 'unknown' WHEN abs(yaw) <= 15 THEN 'frontal' WHEN yaw < -15 THEN 'left' ELSE 'right' END AS pose FROM s""",
-    "ocr_clock_parse": "SELECT event_id, CASE WHEN event_id % 6 < 4 THEN epoch_us(date_trunc('second', ts)) END AS clock_us FROM events",
+    "ocr_clock_parse": "SELECT event_id, CASE WHEN event_id % 10 < 8 THEN epoch_us(date_trunc('second', ts)) END AS clock_us FROM events",
     "time_anchor_consensus": """
 WITH r AS (SELECT user_id, s * 5 AS o, i * 7919 % 5000 * 1000 AS t FROM (SELECT user_id, event_id % 6 AS s, min(event_id) AS i FROM events GROUP BY 1, 2)),
 w AS (SELECT a.user_id, a.t AS hi, count(*) AS n, a.t - min(b.t) AS spread, min(b.o) AS first FROM r a JOIN r b ON a.user_id = b.user_id AND b.t BETWEEN a.t - 2000000 AND a.t GROUP BY a.user_id, a.t, a.o),

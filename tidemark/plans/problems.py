@@ -125,4 +125,11 @@ SELECT CAST(video_id AS BIGINT) AS video_id, CAST(person_id AS BIGINT) AS person
 FROM g GROUP BY video_id, person_id, visit_date, k
 """
 
-ORACLE = {"p1_found": _P1, "p2_found": _P2, "p6_found": _P6}
+_P2_LOADED = (
+    _P2.rpartition("SELECT DISTINCT")[0]
+    + r""", k AS (SELECT line_id, v, nullif(replace(translate(v[5], '₽ ' || chr(160) || chr(8239), ''), ',', '.'), '') AS a FROM u WHERE line_id IN (SELECT line_id FROM j WHERE reason IS NULL))
+SELECT line_id, nullif(v[1], '') AS tt, v[2] AS external_receipt_id, nullif(v[3], '') AS opened_at, nullif(v[4], '') AS closed_at, CAST(round(CAST(a AS DECIMAL(38, 18)), 2) AS DECIMAL(16, 2)) AS amount,
+  CAST(nullif(regexp_replace(v[6], '\.0$', ''), '') AS INTEGER) AS table_number, nullif(v[7], '') AS client_external_id FROM k"""
+)
+
+ORACLE = {"p1_found": _P1, "p2_found": _P2, "p2_loaded": _P2_LOADED, "p6_found": _P6}
