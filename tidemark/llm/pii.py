@@ -1,18 +1,23 @@
 """Personal information in free text: found, and replaced by typed placeholders.
 
-Numbers, mail and postal addresses have forms of their own and are found by these. Names have none: that a
-term belongs to a person is learnt from the corpus. Over all documents each term's occurrences are counted,
-and how many of them stand where a protected person is named (after a title or another lead-in, or in
-the local part of a mail address). The pointwise mutual information of term and person, together with the
-share of its occurrences that name one, is the term's disclosure. Two neighbouring terms, or a term and an
-initial, whose disclosure passes the thresholds are a name, with or without a lead-in.
+That a term reveals a protected entity is learnt from the corpus, for all five kinds. Spans that may be one are proposed by their
+outer form. Some show by themselves what they are: a mail address with its sign, a number with a country's prefix or a bracketed area code,
+a number after the word for an identity document, a house number at a word for a street, a name after a title. Around and in all spans stand
+terms: the one or two words before (the cue), the number's shape, the top-level domain, the town's words, the name's words. Over all
+documents it is counted how often each term occurs and how often together with a span that shows itself. The share, and
+the pointwise mutual information of term and protected entity, are the term's disclosure. A span that does not show itself is
+protected if a term of it passes the thresholds; a name, if both of its words do. Names take one more step: cues
+that mostly stand before pairs of revealing words reveal the words that follow them. No lead-in, domain or town is listed.
+
+Disclosing terms are sent to the workers as 64-bit hashes while there are at most MAX_TERMS; beyond that as a bit map, and what it lets pass is
+joined with the exact terms.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,31 +27,29 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.storage import cut, spread
 
-#: A revealing term's share of occurrences that name a person, and its mutual information with them in bits.
-MIN_SHARE, MIN_BITS = 0.15, 4.0
-#: Size of the bit map of revealing terms that workers test pairs against before the exact join.
-MAP_BITS = 24
+#: A revealing word's share of occurrences in names, and its mutual information with them in bits; the same share of cues, domains and towns, and of shapes.
+MIN_SHARE, MIN_BITS, CUE_SHARE, SHAPE_SHARE = 0.15, 4.0, 0.3, 0.8
+#: Revealing terms sent as exact hashes (8 bytes each), and the size of the bit map beyond.
+MAX_TERMS, MAP_BITS = 1 << 22, 26
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
-_WORD = r"\p{L}[\p{L}\p{M}]*(?:['’ʼ`\-‐‑]\p{L}[\p{L}\p{M}]*)*"
-_GAP = r"[ \t  ]"
-
-#: What stands before a person's name, in three languages.
-TITLES = (
-    "mr", "mrs", "ms", "miss", "dr", "mr.", "mrs.", "ms.", "dr.", "herr", "herrn", "frau", "г-н", "г-жа", "господин", "госпожа",
-)
-LEADS = (
-    "guest", "customer", "visitor", "colleague", "cashier", "name", "signed", "regards", "from", "spoke with", "ask", "filed by", "over to", "on duty", "swapped with",
-    "gast", "kunde", "kundin", "namens", "gezeichnet", "bitte", "grüßen", "gruß", "grüße", "unterschrift", "von", "mit", "kollege", "kollegin", "dienst", "kassierer", "kassiererin", "getauscht mit",
-    "подпись", "посетитель", "сотрудник", "по имени", "от имени", "покупатель", "гость", "клиент", "спросите", "теперь", "с уважением", "уважением", "кассир", "говорил с", "передал", "ключи",
+_GAP = r"[ \t\u00a0\u202f]"
+#: Titles of persons, in three languages.
+TITLES = ("mr", "mrs", "ms", "miss", "dr", "herr", "herrn", "frau", "г-н", "г-жа", "господин", "госпожа")
+#: The words for a name and a signature, which show that one follows.
+NAME_WORDS = ("name", "names", "namens", "имя", "имени", "signed", "signature", "gezeichnet", "unterschrift", "подпись")
+#: The words that spell out the signs of a mail address.
+_AT, _DOT = r"(?:at|ät|собака)", r"(?:dot|punkt|точка)"
+#: Words for identity documents, insurance and tax numbers.
+ID_WORDS = (
+    "passport", "identity card", "id card", "insurance", "social security", "tax", "driving licen", "паспорт", "снилс", "инн", "удостоверени", "полис", "ausweis", "reisepass", "pass", "versicherung", "steuer", "id",
+    "nino", "ssn", "vat",
 )
-#: Lead-ins that show a person also where the name stands in lower case.
-SHOWING_LEADS = ("swapped with", "ask", "спросите", "getauscht mit", "spoke with")
-_TLD = r"(?:example|test|invalid|localhost|com|org|net|info|biz|de|ru|uk|eu|io|su|at|ch|рф)"
 #: Street words.
 _EN_STREET = r"(?:street|st|road|rd|lane|ln|row|avenue|ave|close|drive|square|sq|way|court|place|terrace|crescent|boulevard|blvd)"
 _DE_STREET = r"(?:straße|strasse|str|gasse|weg|allee|platz|ring|damm|ufer|steig|pfad|chaussee)"
 _RU_STREET = r"(?:ул\.|улица|пр-т|проспект|пер\.|переулок|ш\.|шоссе|наб\.|набережная|б-р|бульвар|пл\.|площадь)"
+_MAIL_HINTS = ("@", "＠", "(at", "[at", "{at", "(ät", "[ät", "{ät", "собака", " dot ", " точка ", " punkt ")
 
 
 @lru_cache(maxsize=1)
@@ -54,24 +57,21 @@ def _patterns() -> dict[str, object]:
     import regex
 
     i = regex.IGNORECASE
-    at = rf"(?:[@＠]|{_GAP}[@＠]{_GAP}|{_GAP}?[\[({{](?:at|ät|собака)[\])}}]{_GAP}?)"
-    dot = rf"(?:\.|{_GAP}?[\[({{](?:dot|punkt|точка)[\])}}]{_GAP}?)"
+    at = rf"(?:[@＠]|{_GAP}[@＠]{_GAP}|{_GAP}?[\[({{]{_AT}[\])}}]{_GAP}?)"
+    dot = rf"(?:\.|{_GAP}?[\[({{]{_DOT}[\])}}]{_GAP}?)"
     local = r"[\p{L}\d](?:[\p{L}\d._%+\-]*[\p{L}\d_\-])?"
     label = r"[\p{L}\d](?:[\p{L}\d\-]*[\p{L}\d])?"
-    spelt = rf"{local}{_GAP}(?:at|собака){_GAP}{label}(?:\.{label})*(?:{_GAP}(?:dot|точка){_GAP}{label}(?:\.{label})*)*{_GAP}(?:dot|точка){_GAP}{_TLD}"
+    top = r"(?<top>\p{L}{2,24}|xn--[a-z0-9\-]+)"
     edge, end = r"(?<![\p{L}\d.+_%\-])", r"(?![\p{L}\d_]|[\-][\p{L}\d])"
+    spelt = rf"{local}{_GAP}{_AT}{_GAP}{label}(?:\.{label})*(?:{_GAP}{_DOT}{_GAP}{label}(?:\.{label})*)*{_GAP}{_DOT}{_GAP}{top}"
 
-    s = r"[   .\-/]"
+    s = r"[ \u00a0\u202f.\-/]"
     tail = rf"(?:,?{_GAP}?(?:ext|extension|x|доб|dw|durchwahl)\.?{_GAP}?\d{{1,5}})?"
-    phone = (
-        rf"(?<![\p{{L}}\d+/.\-]|\d )(?:"
-        rf"(?:\+|00)(?:[1-9]\d{{0,2}}){s}?(?:\(\d{{1,5}}\){s}?)?\d{{1,5}}(?:{s}?\d{{1,5}}){{1,5}}"
-        rf"|[87]{s}?\(\d{{3,5}}\){s}?\d{{1,3}}(?:{s}?\d{{2,4}}){{1,3}}"
-        rf"|8[   \-]\d{{3}}[   \-]\d{{3}}[   \-]?\d{{2}}[   \-]?\d{{2}}|8\d{{10}}"
-        rf"|\(0?\d{{2,4}}\){s}?\d{{3,5}}(?:{s}?\d{{2,5}}){{1,2}}"
-        rf"|0[1-9]\d{{1,4}}{s}\d{{3,5}}(?:{s}?\d{{2,5}}){{0,2}}|07\d{{9}}"
-        rf"|[2-9]\d{{2}}[.\- ]\d{{3}}[.\- ]\d{{4}}"
-        rf"){tail}(?![\d]|[\-/]\d|[.,:]\d|\p{{L}})"
+    before, after = r"(?<![\p{L}\d+/.\-]|\d )", r"(?![\d]|[\-/]\d|[.,:]\d|\p{L})"
+    shown = rf"(?:(?:\+|00)(?:[1-9]\d{{0,2}}){s}?(?:\(\d{{1,5}}\){s}?)?\d{{1,5}}(?:{s}?\d{{1,5}}){{1,5}}|[87]{s}?\(\d{{3,5}}\){s}?\d{{1,3}}(?:{s}?\d{{2,4}}){{1,3}}|\(0?\d{{2,4}}\){s}?\d{{3,5}}(?:{s}?\d{{2,5}}){{1,2}})"
+    plain = (
+        rf"(?:8[ \u00a0\u202f\-]\d{{3}}[ \u00a0\u202f\-]\d{{3}}[ \u00a0\u202f\-]?\d{{2}}[ \u00a0\u202f\-]?\d{{2}}|8\d{{10}}"
+        rf"|0[1-9]\d{{1,4}}{s}\d{{3,5}}(?:{s}?\d{{2,5}}){{0,2}}|07\d{{9}}|[2-9]\d{{2}}[.\- ]\d{{3}}[.\- ]\d{{4}}|\d{{2,5}}(?:{s}\d{{2,5}}){{1,4}})"
     )
 
     # a value: up to two letters, groups that hold digits, and a closing letter after two leading ones
@@ -84,251 +84,484 @@ def _patterns() -> dict[str, object]:
     between = rf"(?:{_GAP}*(?:number|no|nr|nummer|id|номер|серия|card|#|№)\b?\.?)*[:\s]*"
     ident = rf"(?<![\p{{L}}\d_\-]){label_}(?![\p{{L}}_])(?:\.)?{between}\s*(?<value>{value})(?![\p{{L}}\d])"
 
-    sep = r"(?:,\s*|\s*\n\s*|[  ]+)"
+    sep = r"(?:,\s*|\s*\n\s*|[ \u00a0]+)"
     cap = r"\p{Lu}[\p{L}\p{M}'’\-]+"
-    house = r"\d{1,4}{_GAP}?[A-Za-zА-Яа-я]?".replace("{_GAP}", r"[  ]?")
-    stop_en = r"(?!(?i:by|not|for|and|with|to|in|on|at|is|was|please|the)\b)"
-    town_en = rf"{stop_en}(?:{cap})(?:[  ]{stop_en}{cap})?"
-    town_any = rf"{stop_en}\p{{L}}[\p{{L}}\-]+(?:[  ]{stop_en}\p{{L}}[\p{{L}}\-]+)?"
-    # a town starts with a capital; in a text without capitals it reaches to the next stop word or sign
-    en = lambda word, town: rf"(?<![\p{{L}}\d\-.,:=])(?:(?i:flat|apartment|apt\.?|unit|suite)\s+\d+\w?{sep})?\d{{1,4}}[A-Za-z]?\s+(?:{word}\s+){{1,3}}?(?i:{_EN_STREET})\b\.?(?:,\s*{town}(?:,?\s+\d{{5}}\b)?|\s+{town}\s+\d{{5}}\b|,?\s+\d{{5}}\b)?"
-    street_de = rf"(?:[\p{{L}}\-]+(?i:{_DE_STREET})|(?:\p{{L}}[\p{{L}}\-]+[  ])+(?i:{_DE_STREET}))(?:\.|\b)\s*\d{{1,4}}(?:[  ]?[a-zA-Z])?(?!\p{{L}}|\d)"
-    town_de = r"\p{L}[\p{L}\-]+(?:[  ](?:am|an der|im|bei|ob der)[  ]\p{Lu}[\p{L}\-]+)?"
-    de = rf"(?<![\p{{L}}\d\-])(?:\d{{5}}\s+{town_de},?\s+)?{street_de}(?:,\s*(?!(?i:nicht|und|bitte|aber|sondern|den|die)\b)(?:\d{{5}}\s+)?{town_de}|\s+\d{{5}}\s+{town_de})?"
-    stop_ru = r"(?!(?i:адресу|адрес|на|по|отправить|доставка|живёт|гость|счёт|а|не|в|г)\b)"
-    town_ru = rf"{stop_ru}\p{{L}}[\p{{L}}\-]+(?:[  ]{stop_ru}\p{{L}}[\p{{L}}\-]+)?"
-    town_cap = rf"{stop_ru}{cap}(?:[  ]{stop_ru}{cap})?"
-    ru_street = rf"(?:(?i:{_RU_STREET})\s*(?:\p{{L}}[\p{{L}}\-]+)(?:[  ]\p{{Lu}}[\p{{L}}\-]+)?|\p{{L}}[\p{{L}}\-]+\s+(?i:{_RU_STREET}))"
-    ru_house = r"(?:,\s*|\s+)(?:(?i:д\.|дом|д)\s*)?\d{1,4}(?:[  ]?(?i:к|корп\.?|стр\.?)[  ]?\d+|[а-яА-Я](?!\p{L}))?(?:,\s*(?i:кв\.|квартира|оф\.)\s*\d+)?"
-    ru = rf"(?<![\p{{L}}\d\-])(?:\d{{6}},?\s+)?(?:(?i:г\.|город)\s*{town_ru},?\s+|{town_cap},\s+)?{ru_street}{ru_house}(?:,\s*(?:(?i:г\.)\s*{town_ru}|\d{{6}}))*(?!\d)"
+    any_ = r"\p{L}[\p{L}\-]+"
+    town = lambda w: rf"{w}(?:[ \u00a0]{w})?"
+    # a town starts with a capital; in a text of one case it may be any words, and those that reveal no town are cut off again
+    en = lambda word, t: rf"(?<![\p{{L}}\d\-.,:=])(?:(?i:flat|apartment|apt\.?|unit|suite)\s+\d+\w?{sep})?\d{{1,4}}[A-Za-z]?\s+(?:{word}\s+){{1,3}}?(?i:{_EN_STREET})\b\.?(?:,\s*{t}(?:,?\s+\d{{5}}\b)?|\s+{t}\s+\d{{5}}\b|,?\s+\d{{5}}\b)?"
+    street_de = rf"(?:[\p{{L}}\-]+(?i:{_DE_STREET})|(?:\p{{L}}[\p{{L}}\-]+[ \u00a0])+(?i:{_DE_STREET}))(?:\.|\b)\s*\d{{1,4}}(?:[ \u00a0]?[a-zA-Z])?(?!\p{{L}}|\d)"
+    town_de = r"\p{L}[\p{L}\-]+(?:[ \u00a0](?:am|an der|im|bei|ob der)[ \u00a0]\p{Lu}[\p{L}\-]+)?"
+    de = rf"(?<![\p{{L}}\d\-])(?:\d{{5}}\s+{town_de},?\s+)?{street_de}(?:,\s*(?:\d{{5}}\s+)?{town_de}|\s+\d{{5}}\s+{town_de})?"
+    ru_street = rf"(?:(?i:{_RU_STREET})\s*(?:{any_})(?:[ \u00a0]\p{{Lu}}[\p{{L}}\-]+)?|{any_}\s+(?i:{_RU_STREET}))"
+    ru_house = r"(?:,\s*|\s+)(?:(?i:д\.|дом|д)\s*)?\d{1,4}(?:[ \u00a0]?(?i:к|корп\.?|стр\.?)[ \u00a0]?\d+|[а-яА-Я](?!\p{L}))?(?:,\s*(?i:кв\.|квартира|оф\.)\s*\d+)?"
+    ru = rf"(?<![\p{{L}}\d\-])(?:\d{{6}},?\s+)?(?:(?i:г\.|город)\s*{town(any_)},?\s+|{town(cap)},\s+)?{ru_street}{ru_house}(?:,\s*(?:(?i:г\.)\s*{town(any_)}|\d{{6}}))*(?!\d)"
     return {
-        "email": [
-            (regex.compile(r"[@＠]|[\[({](?:at|ät|собака)[\])}]", i), regex.compile(rf"{edge}{local}{at}{label}(?:{dot}{label})*{dot}{_TLD}{end}", i)),
-            (regex.compile(rf"{_GAP}(?:dot|точка){_GAP}", i), regex.compile(rf"{edge}{spelt}{end}", i)),
-        ],
-        "phone": regex.compile(phone, i),
-        "digits": regex.compile(rf"\d(?:[\d()]|{s}){{7,}}\d"),
-        "run": regex.compile(rf"\d(?:(?:[()]|{s})*\d)*"),
+        "email": regex.compile(rf"{edge}{local}{at}{label}(?:{dot}{label})*{dot}{top}{end}", i),
+        "at": regex.compile(rf"[@＠]|[\[({{]{_AT}[\])}}]", i),
+        "spelt": regex.compile(rf"{edge}{spelt}{end}", i),
+        "spelt_at": regex.compile(rf"(?<={_GAP}){_AT}(?={_GAP}[^\s]+{_GAP}(?:{_DOT}{_GAP}|[^\s]+{_GAP}{_DOT}{_GAP}))", i),
+        "phone": regex.compile(rf"{before}(?:(?<shown>{shown})|{plain}){tail}{after}", i),
         "id_number": regex.compile(ident, i),
-        "address": [
-            (regex.compile(_RU_STREET, i), regex.compile(ru)),
-            (regex.compile(rf"{_DE_STREET}\.?\s*\d", i), regex.compile(de)),
-            (regex.compile(rf"\d[A-Za-z]?\s[^\d,.]{{2,60}}{_EN_STREET}\b", i), regex.compile(en(cap, town_en))),
-            (regex.compile(rf"\d[A-Za-z]?\s[^\d,.]{{2,60}}{_EN_STREET}\b", i), regex.compile(en(r"(?!(?:the|an?|this|that|to|of)\b)\p{Ll}[\p{Ll}\p{M}'’\-]+", town_any))),
-        ],
-        "word": regex.compile(rf"(?P<initial>\p{{Lu}}\.)(?!\p{{L}}\.)|{_WORD}"),
-        "gap": regex.compile(rf",?{_GAP}+"),
-        "lead": regex.compile(rf"(?:^|(?<![\p{{L}}\-]))(?:{'|'.join(map(regex.escape, sorted(TITLES + LEADS, key=len, reverse=True)))})[\s:,]+", i),
-        "at": regex.compile(r"[@＠\[({]|\s"),
-        "showing": regex.compile(rf"(?:^|(?<![\p{{L}}\-]))(?:{'|'.join(SHOWING_LEADS)}){_GAP}+", i),
+        "ru": regex.compile(ru), "de": regex.compile(de), "en": regex.compile(en(cap, town(cap))),
+        "en_lower": regex.compile(en(r"(?!(?:the|an?|this|that|to|of)\b)\p{Ll}[\p{Ll}\p{M}'’\-]+", town(any_))),
         "split": regex.compile(r"[^\p{L}]+"),
+        "at_or_blank": regex.compile(r"[@＠\[({]|\s"),
     }
 
 
-def formed_mentions(text: str, mail_only: bool = False) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of mail addresses, labelled numbers, postal addresses and phone numbers, disjoint, in this order of precedence.
-
-    A form is looked for only in texts that hold a sign of it, found by a short pattern first.
+def _upper_class() -> str:
+    """The capital letters, as the ranges of a character class."""
+    points = [c for c in range(0x41, 0x2C00) if chr(c).isupper()]
+    cuts = [i for i in range(1, len(points)) if points[i] != points[i - 1] + 1]
+    return "".join(f"{chr(points[a])}-{chr(points[b - 1])}" for a, b in zip([0, *cuts], [*cuts, len(points)], strict=True))
+
+
+_MARKS = "\u0300-\u036f"
+_LETTER, _UP = r"[^\W\d_]", _upper_class()
+_WORD = re.compile(rf"{_LETTER}[^\W\d_{_MARKS}]*(?:[{_MARKS}]|['’ʼ`\-‐‑](?={_LETTER})|{_LETTER})*")
+_CAPITAL = rf"(?:[{_UP}]\.(?!{_LETTER}\.)|[{_UP}](?:[{_MARKS}]|['’ʼ`\-‐‑](?={_LETTER})|{_LETTER})*)"
+#: A capitalised word and the next one, if only a blank or a comma and a blank, or after an initial nothing, is between them.
+_PAIR = re.compile(rf"(?<![^\W\d_])(?<![^\W\d_]['’ʼ`\-‐‑])({_CAPITAL})(?=(?:,?{_GAP}{{1,7}}|(?<=\.))({_CAPITAL}))")
+# five digits or more with signs of numbers between them, nine or more with those of a phone number
+_MANY = re.compile(r"(?<![^\W_])(?:[A-Za-zА-Яа-я]{1,2}[ \u00a0]?)?\d(?:[ \-/№\u00a0\u202f]{0,3}[A-Za-z]{0,2}\d){4,}(?:[ ]?[A-Za-z])?(?!\w)")
+_FIVE = re.compile(r"\d(?:[ \-/№\u00a0\u202f]{0,3}[A-Za-z]{0,2}\d){4,}")
+_SIGNS = r"[() .\-/\u00a0\u202f]"
+_NINE = re.compile(rf"\d(?:{_SIGNS}{{0,3}}\d){{8,}}")
+_NUMBER_SET, _BLANKS = frozenset("0123456789() .-/+\u00a0\u202f"), frozenset(" \t\u00a0\u202f")
+_NO_LEFT, _NO_RIGHT = frozenset("-#=№/.:"), frozenset("-/=")
+_DATED = re.compile(r"(?:\d{4}-\d\d-\d\d|\d\d[.\-]\d\d[.\-]\d{4})(?: \d\d)?")
+# signs of an address, looked for in the text in one spelling
+_RU_HINT = re.compile(_RU_STREET)
+_DE_HINT = re.compile(_DE_STREET.replace("straße|", "") + r"\.?\s*\d")
+_EN_HINT = re.compile(rf"\d[a-z]?\s+(?:{_LETTER}[^\s\d,.]*\s+){{1,3}}?{_EN_STREET}\b")
+_NAME = rf"[{_UP}][\w'’\-]+"
+#: What stands where an address may stand: capitalised words and a house number, in either order, with a postcode or another name.
+_PLACE = re.compile(
+    rf"(?<![\w\-])(?:{_NAME}(?:[ \u00a0]{_NAME}){{0,3}},?[ \u00a0]\d{{1,4}}[a-zA-Z]?|\d{{1,4}}[a-zA-Z]?,?[ \u00a0]{_NAME}(?:[ \u00a0]{_NAME}){{0,3}})(?:,\s*(?:\d{{4,6}}\s+)?{_NAME}(?:[ \u00a0]{_NAME})?|,?\s+\d{{4,6}}(?:\s+{_NAME})?)(?!\w)"
+)
+_SHOWING = frozenset((*TITLES, *NAME_WORDS))
+_DIGIT = str.maketrans(dict.fromkeys("0123456789", "9") | {"\u00a0": " ", "\u202f": " "})
+
+
+def cues(text: str, start: int) -> tuple[str, ...]:
+    """The two words before a place in its line or the line before, and the last of them, in one spelling; a sentence's end parts them from it."""
+    before = text[max(0, start - 48) : start]
+    t = before.rstrip(" \t\n\u00a0(<\"'")
+    if before.count("\n", len(t)) > 1:
+        return ()
+    bare = t.rstrip(":,")
+    words = bare[bare.rfind("\n") + 1 :].split()[-2:]
+    if not words:
+        return ()
+    last = words[-1]
+    if last[-1] == "." and len(last) <= 4:
+        last = last[:-1]
+    if not last.replace("-", "").isalpha():
+        return ()
+    last = last.casefold() + (":" if t[len(bare) :].startswith(":") else "")
+    return (f"{words[0].casefold()} {last}", last) if len(words) > 1 and words[0].replace("-", "").isalpha() else (last,)
+
+
+def _cased(text: str) -> bool:
+    """Whether capitals tell anything: a text with letters of both cases."""
+    return not (text.isupper() or text.islower())
+
+
+_TOWN_END = re.compile(rf"((?:,\s*(?:\d{{5}}\s+)?|\d{{5}}\s+))({_LETTER}[\w\-]*)(?:([ \u00a0])({_LETTER}[\w\-]*))?\Z")
+
+
+def _trim_towns(text: str, a: int, b: int, reveals: Callable[[str], bool]) -> int:
+    """An address' end without the words after its last comma or postcode that are no part of a town: without a capital, or in a span of one case any, a word must reveal a town."""
+    m = _TOWN_END.search(text[a:b])
+    if m is None:
+        return b
+    cased = _cased(text[a:b])
+    town = lambda w: (cased and w[0].isupper()) or reveals(f"t:{w.casefold()}")
+    if m[4] and town(m[4]):
+        return b
+    if town(m[2]):
+        return a + m.end(2)
+    sign = m[1].rstrip()
+    return a + m.start() + (len(sign) if sign[-1].isdigit() else 0)
+
+
+def candidates(text: str, reveals: Callable[[str], bool] = lambda term: False) -> Iterator[tuple[int, int, str, bool, tuple[str, ...]]]:
+    """(start, end, kind, whether the span shows itself, its terms) of all spans but names, kinds of higher precedence first.
+
+    ``reveals`` only cuts words off the ends of addresses. Each kind is looked for only where a quick pattern finds a sign of it.
     """
-    p = _patterns()
-    taken = np.zeros(len(text), bool)
-    found = []
-
-    def take(kind: str, a: int, b: int) -> None:
-        if a < b and not taken[a:b].any():
-            taken[a:b] = True
-            found.append((a, b, kind))
-
-    for hint, form in p["email"]:
+    p, low = _patterns(), text.casefold()
+    if any(h in low for h in _MAIL_HINTS):
+        yield from _mail(p, text)
+    # numbers after the word for a document, the rest of them later
+    numbers, shown_numbers = list(_FIVE.finditer(text)), []
+    words = [w for w in ID_WORDS if w in low] if numbers else ()
+    end = 0
+    for i, h in enumerate(numbers) if words else ():
+        before = text[max(0, h.start() - 60) : h.start()].casefold()
+        if any(w in before for w in words):
+            stop = h.end() + 8 if i + 1 == len(numbers) else min(h.end() + 8, numbers[i + 1].start())
+            for m in p["id_number"].finditer(text, max(end, h.start() - 60), stop):
+                a, b = m.span("value")
+                if b > a and sum(map(str.isdigit, text[a:b])) >= 5:
+                    shown_numbers.append((a, b))
+                    yield a, b, "id_number", True, (f"is:{_shape_of(text[a:b])}",)
+                    end = b
+    spans = []
+    # room before and after a street word for all that belongs to its address
+    for form, hint, room in (("ru", _RU_HINT, 160), ("de", _DE_HINT, 160), ("en", _EN_HINT, 80), ("en_lower", _EN_HINT, 80)):
         end = 0
-        for h in hint.finditer(text):
-            # a local part has 64 signs at most, a domain 255
-            for m in form.finditer(text, max(end, h.start() - 100), h.end() + 300):
-                take("email", m.start(), m.end())
+        for h in hint.finditer(low):
+            # places in the text of one spelling are those of the text, but for rare letters that change their length
+            at = (max(end, h.start() - room), h.end() + room + 40) if len(low) == len(text) else (end, len(text))
+            for m in p[form].finditer(text, *at):
+                # what begins later has a hint of its own, and room
+                if len(low) == len(text) and m.start() >= h.end():
+                    break
+                a, b = m.start(), _trim_towns(text, m.start(), m.end(), reveals)
                 end = m.end()
-    if mail_only or not any(map(str.isdigit, text)):
-        return found
-    for m in p["id_number"].finditer(text):
-        a, b = m.span("value")
-        if sum(map(str.isdigit, text[a:b])) >= 5:
-            take("id_number", a, b)
-    for hint, form in p["address"]:
-        if hint.search(text):
-            for m in form.finditer(text):
-                take("address", m.start(), m.end())
-    hits = list(p["digits"].finditer(text))
-    runs = [m.span() for m in p["run"].finditer(text)] if hits else []
-    for h in hits:
-        # room for an extension; an end within another run would cut the number that stands there
+                spans.append((a, b))
+                words = tuple(f"t:{w.casefold()}" for w in _WORD.findall(text[a:b]) if w[0].isupper()) if _cased(text[a:b]) else ()
+                yield a, b, "address", True, (*(f"ac:{c}" for c in cues(text, a)), *words)
+    for m in _PLACE.finditer(text):
+        a, b = m.span()
+        if not text[a:b].isupper() and not any(x < b and a < y for x, y in spans):
+            yield a, b, "address", False, tuple(f"ac:{c}" for c in cues(text, a) if " " in c or ":" in c)
+    for h in _NINE.finditer(text):
+        if _DATED.fullmatch(h.group()):
+            continue
+        # room for an extension; an end within another run of digits would cut the number that stands there
         end = h.end() + 24
-        while (i := bisect_left(runs, (end, 0)) - 1) >= 0 and runs[i][1] >= end:
-            end = runs[i][1] + 24
+        while end < len(text) and text[end].isdigit() and text[end - 1] in _NUMBER_SET:
+            while end < len(text) and text[end] in _NUMBER_SET:
+                end += 1
+            end += 24
         for m in p["phone"].finditer(text, max(0, h.start() - 2), end):
             number = m.group()
             # digits without any sign between them are a number only with a plus or in full national length
             if 9 <= sum(map(str.isdigit, number)) <= 18 and not (number.isdigit() and len(number) < 11):
-                take("phone", m.start(), m.end())
-    return found
+                yield m.start(), m.end(), "phone", m["shown"] is not None, (f"ps:{_shape_of(number)}", *(f"pc:{c}" for c in cues(text, m.start())))
+    for h in numbers:
+        m = _MANY.match(text, max(0, h.start() - 3)) or _MANY.match(text, max(0, h.start() - 2)) or _MANY.match(text, max(0, h.start() - 1)) or _MANY.match(text, h.start())
+        if m:
+            a, b = m.span()
+            if text[a - 1 : a] not in _NO_LEFT and text[b : b + 1] not in _NO_RIGHT and not any(x < b and a < y for x, y in shown_numbers):
+                yield a, b, "id_number", False, (f"is:{_shape_of(m.group())}",)
+
+
+def _mail(p: dict, text: str) -> Iterator[tuple[int, int, str, bool, tuple[str, ...]]]:
+    """The mail addresses; each is read from the start of the word before its sign."""
+
+    def start(at: int) -> int:
+        while at and (text[at - 1] in _BLANKS or text[at - 1] in "[({") and at > 0:
+            at -= 1
+        while at and (text[at - 1].isalnum() or text[at - 1] in "._%+-"):
+            at -= 1
+        while at < len(text) and text[at] in "._%+-":
+            at += 1
+        return at
+
+    for sign, form, shown in (("at", "email", True), ("spelt_at", "spelt", False)):
+        end = 0
+        for h in p[sign].finditer(text):
+            # a domain has 255 signs at most
+            m = p[form].match(text, max(end, start(h.start())), h.end() + 300)
+            if m:
+                terms = (f"d:{m['top'].casefold()}",)
+                yield m.start(), m.end(), "email", shown, terms if shown else (*terms, *(f"ec:{c}" for c in cues(text, m.start())))
+                end = m.end()
+
 
+def _shape_of(number: str) -> str:
+    """A number's shape: its digits alike, one kind of blank."""
+    return number.translate(_DIGIT)
 
-def _shape(word: str) -> str:
-    if len(word) == 2 and word[1] == ".":
-        return "I"
-    if word.isupper():
-        return "U" if len(word) > 1 else "x"
-    return "T" if word[0].isupper() else "l"
 
+def _initial(word: str) -> bool:
+    return len(word) == 2 and word[1] == "."
 
-def name_candidates(text: str, taken: list[tuple[int, int, str]], leads: bool) -> Iterator[tuple[int, int, str, str, bool]]:
-    """(start, end, first term, second term, whether a lead-in shows a person) of neighbouring words that may be a name.
 
-    An initial's term is empty. Words inside a mention of another kind are none. Lead-ins are looked at only with ``leads``.
+def name_candidates(text: str, taken: bytearray) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, first term, second term) of neighbouring capitalised words that may be a name; an initial's term is empty.
+
+    Given name, middle initial and family name are one candidate, and the halves two more. Words in ``taken`` places are none, nor is a
+    single letter without a point.
     """
-    p = _patterns()
-    used = np.zeros(len(text) + 1, bool)
-    for a, b, _ in taken:
-        used[a:b] = True
-    words = [(m.start(), m.end(), m.group()) for m in p["word"].finditer(text)]
-    shapes = [_shape(w) for *_, w in words]
-    # where a lead-in ends, and whether it is all in capitals
-    lead_at = {m.end(): m.group().isupper() for m in p["lead"].finditer(text)} if leads else {}
-    shown_at = {m.end() for m in p["showing"].finditer(text)} if leads else set()
-
-    def near(i: int) -> bool:
-        x, y = words[i], words[i + 1]
-        between = text[x[1] : y[0]]
-        return between == " " or bool(p["gap"].fullmatch(between)) or (not between and x[2][-1] == ".")
-
-    for i in range(len(words) - 1):
-        s, t = shapes[i], shapes[i + 1]
-        lower = s == "l"
-        if lower != (t == "l") or "x" in (s, t) or (s == "I" and t == "I"):
-            continue
-        (a, b, w), (c, d, v) = words[i], words[i + 1]
-        if lower and leads and a not in shown_at:
-            continue
-        if used[a] or used[c] or not near(i):
-            continue
-        if lower:
-            if "," not in text[b:c]:
-                yield a, d, w.casefold(), v.casefold(), leads
+    pairs = [m for m in _PAIR.finditer(text) if len(m[1]) > 1 and len(m[2]) > 1 and not taken[m.start()] and not taken[m.start(2)]]
+    for i, m in enumerate(pairs):
+        w, v = m[1], m[2]
+        s, t = _initial(w), _initial(v)
+        if s and t:
             continue
-        # in a text all in capitals the word after a lead-in may be any
-        shown = a in lead_at and not (s == t == "U" and lead_at[a])
-        # given name, middle initial and family name are one candidate, and the halves two more
-        if t == "I" and s != "I" and i + 2 < len(words) and shapes[i + 2] in "TU" and near(i + 1) and not used[words[i + 2][0]]:
-            yield a, words[i + 2][1], w.casefold(), words[i + 2][2].casefold(), shown
-        yield a, d, "" if s == "I" else w.casefold(), "" if t == "I" else v.casefold(), shown
+        if t and i + 1 < len(pairs) and pairs[i + 1].start() == m.start(2) and not _initial(pairs[i + 1][2]):
+            yield m.start(), pairs[i + 1].end(2), w.casefold(), pairs[i + 1][2].casefold()
+        yield m.start(), m.end(2), "" if s else w.casefold(), "" if t else v.casefold()
+
+
+def _lower_pairs(text: str, taken: bytearray, reveals: Callable[[str], bool]) -> Iterator[tuple[int, int, str, str]]:
+    """As ``name_candidates``, of words in lower case that both reveal a person."""
+    before = None
+    for m in _WORD.finditer(text):
+        w = m.group()
+        if w[0].islower() and len(w) > 2 and _revealing_word(w, reveals) and not taken[m.start()]:
+            if before and text[before.end() : m.start()] in (" ", "\u00a0"):
+                yield before.start(), m.end(), before.group(), w
+            before = m
+        else:
+            before = None
+
+
+_COUNTS = "kind string, a string, b string, w string, v string, n bigint, p bigint"
 
 
 def _counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of ``_COUNTS``: ``term`` (a term, its occurrences, those with a protected entity), ``pair`` (two cues, two words, their occurrences)."""
     p = _patterns()
     for f in frames:
         n: Counter = Counter()
-        person: Counter = Counter()
+        words: Counter = Counter()
+        own: Counter = Counter()
+        pairs: Counter = Counter()
         for text in f["text"]:
             if not text:
                 continue
-            n.update(m.group().casefold() for m in p["word"].finditer(text) if m.group()[-1] != ".")
-            formed = formed_mentions(text, mail_only=True)
-            for a, b, _ in formed:
-                local = p["split"].split(p["at"].split(text[a:b])[0].casefold())
-                person.update(w for w in local if len(w) > 3)
-            for _, _, w, v, shown in name_candidates(text, formed, True):
+            words.update(_WORD.findall(text.casefold()))
+            taken = bytearray(len(text) + 1)
+            for a, b, kind, shown, terms in candidates(text):
+                n.update(terms)
                 if shown:
-                    person.update(x for x in (w, v) if x)
-        yield pd.DataFrame({"term": list(n), "n": list(n.values()), "person": [person[t] for t in n]})
+                    own.update(terms)
+                    taken[a:b] = b"\1" * (b - a)
+                    if kind == "email":
+                        local = p["split"].split(p["at_or_blank"].split(text[a:b])[0].casefold())
+                        own.update("n:" + w for w in local if len(w) > 3)
+            for a, _, w, v in name_candidates(text, taken):
+                c = cues(text, a)
+                if c and c[-1].rstrip(":") in _SHOWING:
+                    own.update("n:" + x for x in (w, v) if x)
+                elif w != v:
+                    pairs[(c[0] if len(c) > 1 else "", c[-1] if c else "", w, v)] += 1
+        n.update({f"n:{w}": k for w, k in words.items()})
+        terms = pd.DataFrame({"kind": "term", "a": list(n), "b": "", "w": "", "v": "", "n": list(n.values()), "p": [own[t] for t in n]})
+        of = list(zip(*pairs, strict=True)) or [()] * 4
+        yield pd.concat([terms, pd.DataFrame({"kind": "pair", "a": of[0], "b": of[1], "w": of[2], "v": of[3], "n": list(pairs.values()), "p": 0})])
+
+
+def _share(p, n):
+    return (p + 0.1) / (n + 0.5)
 
 
 def term_disclosure(docs: DataFrame, text: str) -> DataFrame:
-    """(term, n, person, share, bits) of every term of all texts; ``bits`` is its mutual information with persons."""
-    rows = docs.select(F.col(text).alias("text"))
-    counts = rows.mapInPandas(_counts, "term string, n bigint, person bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("person").alias("person"))
-    counts = cut(counts)
-    total = counts.agg(F.sum("n").alias("all_n"), F.sum("person").alias("all_person"))
-    share = (F.col("person") + 0.1) / (F.col("n") + 0.5)
-    base = (F.col("all_person") + 1) / (F.col("all_n") + 1)
-    return counts.join(F.broadcast(total)).select("term", "n", "person", share.alias("share"), F.log2(share / base).alias("bits"))
+    """(term, n, p, share, bits) of every term of all texts: occurrences, those that reveal a protected entity, their share, mutual information in bits.
 
+    Terms are ``n:`` words of names, ``t:`` of towns, ``d:`` top-level domains, ``ps:`` and ``is:`` shapes of phone and identity numbers, and
+    ``pc:``, ``ac:``, ``ec:`` and ``nc:`` cues before phone numbers, addresses, mail addresses and names.
+    """
+    counted = docs.select(F.col(text).alias("text")).mapInPandas(_counts, _COUNTS)
+    counted = cut(counted.groupBy("kind", "a", "b", "w", "v").agg(F.sum("n").alias("n"), F.sum("p").alias("p")))
+    terms = counted.where("kind = 'term'").select(F.col("a").alias("term"), "n", "p")
+    pairs = counted.where("kind = 'pair'").select("a", "b", F.concat(F.lit("n:"), "w").alias("w"), F.concat(F.lit("n:"), "v").alias("v"), "n")
+    words = terms.where(F.col("term").startswith("n:"))
+    base = words.agg(((F.sum("p") + 1) / (F.sum("n") + 1)).alias("base"))
+    # words that stand after titles or in mail addresses, more often than chance by MIN_BITS
+    known = words.join(F.broadcast(base)).where(F.log2(_share(F.col("p"), F.col("n")) / F.col("base")) >= MIN_BITS).select("term")
+    known = cut(known.unionByName(docs.sparkSession.createDataFrame([("n:",)], "term string")))
+    is_known = lambda c: known.select(F.col("term").alias(c), F.lit(1).alias(f"{c}_known"))
+    judged = pairs.join(is_known("w"), "w", "left").join(is_known("v"), "v", "left")
+    judged = judged.withColumn("p", F.when(F.col("w_known").isNotNull() & F.col("v_known").isNotNull(), F.col("n")).otherwise(0)).select("a", "b", "w", "v", "n", "p")
+    judged = cut(judged)
+    cue = judged.select(F.explode(F.array("a", "b")).alias("cue"), "n", "p").where("cue <> ''").groupBy("cue").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    leads = cut(cue.where(_share(F.col("p"), F.col("n")) >= CUE_SHARE))
+    lead = lambda c: leads.select(F.col("cue").alias(c), F.lit(1).alias(f"{c}_leads"))
+    led = judged.join(lead("a"), "a", "left").join(lead("b"), "b", "left").where("a_leads is not null or b_leads is not null")
+    more = led.select(F.explode(F.array("w", "v")).alias("term"), "n").groupBy("term").agg(F.sum("n").alias("more"))
+    words = words.join(more, "term", "left").select("term", "n", (F.col("p") + F.coalesce("more", F.lit(0))).alias("p"))
+    rest = terms.where(~F.col("term").startswith("n:"))
+    # a town's word is judged by all its occurrences, as a name's is
+    towns = rest.where(F.col("term").startswith("t:")).select("term", "p").join(words.select(F.concat(F.lit("t:"), F.substring("term", 3, 1 << 30)).alias("term"), "n"), "term").select("term", F.greatest("n", "p").alias("n"), "p")
+    other = rest.where(~F.col("term").startswith("t:"))
+    found = words.unionByName(towns).unionByName(other).unionByName(leads.select(F.concat(F.lit("nc:"), "cue").alias("term"), "n", "p"))
+    share = _share(F.col("p"), F.col("n"))
+    return found.join(F.broadcast(base)).select("term", "n", "p", share.alias("share"), F.log2(share / F.col("base")).alias("bits"))
+
+
+def revealing_terms(disclosure: DataFrame) -> DataFrame:
+    """(term): those whose disclosure passes the thresholds of their kind."""
+    kind = F.substring_index("term", ":", 1)
+    least = F.when(kind == "n", MIN_SHARE).when(kind.isin("ps", "is"), SHAPE_SHARE).otherwise(CUE_SHARE)
+    return disclosure.where((F.col("share") >= least) & (F.col("bits") >= F.when(kind == "n", MIN_BITS).otherwise(F.lit(0.0)))).select("term")
+
+
+class _Reveals:
+    """Whether a term is revealing, by sorted hashes or by a bit map; answers are remembered, a bounded number of them."""
+
+    def __init__(self, exact: bool, raw: bytes):
+        self.exact, self.known = exact, {"n:": True}
+        self.at = np.frombuffer(raw, np.int64) if exact else np.frombuffer(raw, np.uint8)
+
+    def __call__(self, term: str) -> bool:
+        got = self.known.get(term)
+        if got is None:
+            import xxhash
+
+            h = np.int64(xxhash.xxh64_intdigest(term.encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(term.encode(), 42) >> 63))
+            if self.exact:
+                i = int(np.searchsorted(self.at, h))
+                got = i < len(self.at) and self.at[i] == h
+            else:
+                bit = int(h) & ((1 << MAP_BITS) - 1)
+                got = bool(self.at[bit >> 3] >> (7 - (bit & 7)) & 1)
+            if len(self.known) > 1 << 20:
+                self.known = {"n:": True}
+            self.known[term] = got
+        return got
+
+
+def _revealing_word(term: str, reveals: Callable[[str], bool]) -> str | None:
+    """The word, or the first part of a double name, that reveals a person; None without any. An initial is judged by its neighbour."""
+    return next((x for x in (term, *(term.split("-") if "-" in term else ())) if reveals(f"n:{x}")), None)
+
+
+def mentions_of(text: str, reveals: Callable[[str], bool], lower_words: Callable[[str], bool] | None = None) -> list[tuple[int, int, str, list[str]]]:
+    """(start, end, kind, the terms it rests on) of all mentions of a text, those of one kind disjoint; a name inside another kind's span is none."""
+    out = []
+    taken = bytearray(len(text) + 1)
+
+    def free(a: int, b: int) -> bool:
+        if a >= b or 1 in taken[a:b]:
+            return False
+        taken[a:b] = b"\1" * (b - a)
+        return True
+
+    for a, b, kind, shown, terms in candidates(text, reveals):
+        on = [] if shown else [t for t in terms if reveals(t)]
+        if (shown or on) and free(a, b):
+            out.append((a, b, kind, on))
+    for a, d, w, v in name_candidates(text, taken):
+        w, v = _revealing_word(w, reveals), _revealing_word(v, reveals)
+        # what lies within the candidate before is its part
+        if w is not None and v is not None and free(a, d):
+            out.append((a, d, "name", [f"n:{x}" for x in (w, v) if x]))
+    if lower_words is None or lower_words(text):
+        for a, d, w, v in _lower_pairs(text, taken, reveals):
+            if free(a, d):
+                out.append((a, d, "name", [f"n:{_revealing_word(x, reveals)}" for x in (w, v)]))
+    return out
+
+
+class _LowerWords:
+    """Whether a text holds a revealing word in lower case at all; each word is looked up once."""
+
+    def __init__(self, reveals: Callable[[str], bool]):
+        self.reveals, self.seen, self.yes = reveals, set(), set()
+
+    def __call__(self, text: str) -> bool:
+        words = set(_WORD.findall(text))
+        if new := words - self.seen:
+            if len(self.seen) > 1 << 20:
+                self.seen, self.yes = set(), set()
+                new = words
+            self.seen |= new
+            self.yes |= {w for w in new if w[0].islower() and len(w) > 2 and _revealing_word(w, self.reveals)}
+        return not self.yes.isdisjoint(words)
+
+
+_FOUND = "doc bigint, start int, end int, kind string, found_text string, terms array<string>"
+
+
+def _find(shared, exact: bool):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reveals = _Reveals(exact, shared.value)
+        lower = _LowerWords(reveals)
+        for f in frames:
+            out = []
+            for doc, text in zip(f["doc"], f["text"], strict=True):
+                if text:
+                    out.extend((doc, a, b, kind, text[a:b], on) for a, b, kind, on in mentions_of(text, reveals, lower))
+            yield pd.DataFrame(out, columns=["doc", "start", "end", "kind", "found_text", "terms"])
 
-def _mentions(bits):
-    import xxhash
+    return run
 
-    mask = (1 << MAP_BITS) - 1
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        on = np.unpackbits(np.frombuffer(bits.value, np.uint8))
-        known: dict[str, str | None] = {"": ""}
+def _replaced(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """Of spans that overlap the one that begins first is replaced, of these the longest."""
+    at, parts = 0, []
+    for a, b, kind in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if a >= at:
+            parts += [text[at:a], PLACEHOLDERS[kind]]
+            at = b
+    return "".join([*parts, text[at:]])
 
-        def revealing(term: str) -> str | None:
-            # a double name is judged by its first part that the map knows, an initial by its neighbour
-            if term not in known:
-                known[term] = next((x for x in (term, *term.split("-")) if on[xxhash.xxh64_intdigest(x.encode(), 42) & mask]), None)
-            return known[term]
 
+def _clean(shared):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reveals = _Reveals(True, shared.value)
+        lower = _LowerWords(reveals)
         for f in frames:
-            out = []
-            for doc, text in zip(f["doc"], f["text"], strict=True):
-                if not text:
-                    continue
-                formed = formed_mentions(text)
-                out.extend((doc, a, b, kind, text[a:b], f"\0{a % 997}", f"\0{a % 997}") for a, b, kind in formed)
-                end = 0
-                for a, d, w, v, _ in name_candidates(text, formed, False):
-                    w, v = revealing(w), revealing(v)
-                    # what lies within the candidate before is its part
-                    if d > end and w is not None and v is not None:
-                        out.append((doc, a, d, "name", text[a:d], w, v))
-                        end = d
-            yield pd.DataFrame(out, columns=["doc", "start", "end", "kind", "found_text", "w", "v"])
+            yield f.assign(text=[t if not t else _replaced(t, [m[:3] for m in mentions_of(t, reveals, lower)]) for t in f["text"]])
 
     return run
 
 
-def find_mentions(docs: DataFrame, doc_id: str, text: str, min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return spread(docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text")), "doc")
+
+
+def _learnt(rows: DataFrame, max_terms: int) -> tuple[object, bool, DataFrame]:
+    """What the workers get, whether it is exact, and the terms."""
+    terms = cut(revealing_terms(term_disclosure(rows, "text")))
+    sc, h = rows.sparkSession.sparkContext, F.xxhash64("term")
+    if terms.count() <= max_terms:
+        at = terms.select(h.alias("h")).distinct().toArrow()["h"].to_numpy()
+        return sc.broadcast(np.sort(at).astype(np.int64).tobytes()), True, terms
+    # at most 2**MAP_BITS positions, so what comes to the driver is bounded
+    bits = np.zeros(1 << MAP_BITS, np.uint8)
+    for batch in terms.select(h.bitwiseAND(F.lit((1 << MAP_BITS) - 1)).cast("int").alias("b")).distinct().toArrow().to_batches():
+        bits[batch.column(0).to_numpy()] = 1
+    return sc.broadcast(np.packbits(bits).tobytes()), False, terms
+
+
+def find_mentions(docs: DataFrame, doc_id: str, text: str, max_terms: int = MAX_TERMS) -> DataFrame:
     """(doc_id, start, end, kind, found_text) of every mention; offsets count code points.
 
     Null, empty and blank texts have none. Terms are judged by all documents, each mention in its own;
     repeated documents count as often as they stand there. Other columns are ignored, so names cannot clash.
     """
-    spark = docs.sparkSession
-    rows = spread(docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text")), "doc")
-    terms = cut(term_disclosure(rows, "text").where((F.col("share") >= min_share) & (F.col("bits") >= min_bits)).select("term"))
-    # a map of fixed size: it only spares the join pairs that cannot be names
-    at = terms.select(F.xxhash64("term").bitwiseAND(F.lit((1 << MAP_BITS) - 1)).alias("at")).distinct().toPandas()["at"].to_numpy(np.int64)
-    on = np.zeros(1 << MAP_BITS, np.uint8)
-    on[at] = 1
-    bits = spark.sparkContext.broadcast(np.packbits(on).tobytes())
-    found = rows.mapInPandas(_mentions(bits), "doc bigint, start int, end int, kind string, found_text string, w string, v string")
-    known = lambda c: terms.select(F.col("term").alias(c), F.lit(True).alias(f"{c}_ok"))
-    judged = found.join(known("w"), "w", "left").join(known("v"), "v", "left")
-    named = (F.col("w_ok") | (F.col("w") == "")) & (F.col("v_ok") | (F.col("v") == ""))
-    judged = judged.where((F.col("kind") != "name") | named)
-    return judged.select(F.col("doc").alias(doc_id), "start", "end", "kind", "found_text")
-
-
-def sanitise(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    rows = _rows(docs, doc_id, text)
+    shared, exact, terms = _learnt(rows, max_terms)
+    found = rows.mapInPandas(_find(shared, exact), _FOUND)
+    if not exact:
+        found = _verified(found, terms)
+    return found.select(F.col("doc").alias(doc_id), "start", "end", "kind", "found_text")
+
+
+def _verified(found: DataFrame, terms: DataFrame) -> DataFrame:
+    """The mentions whose terms reveal exactly as the map said: all words of a name, any term of another span; those that rest on none stay."""
+    one = found.select("doc", "start", "end", "kind", "found_text", F.size("terms").alias("need"), F.explode_outer("terms").alias("term"))
+    known = one.join(terms.withColumn("ok", F.lit(1)), "term", "left").groupBy("doc", "start", "end", "kind", "found_text", "need").agg(F.count("ok").alias("hit"))
+    return known.where((F.col("need") <= 0) | F.when(F.col("kind") == "name", F.col("hit") >= F.col("need")).otherwise(F.col("hit") > 0))
+
+
+def sanitise(docs: DataFrame, doc_id: str, text: str, max_terms: int = MAX_TERMS) -> DataFrame:
     """(doc_id, text): every mention replaced by its kind's placeholder, all else as it was; null stays null.
 
-    Ids must be distinct. Of mentions that overlap the one that begins first is replaced, of these the longest.
+    Texts are changed where they are read, none is shuffled. Only with more than ``max_terms`` revealing terms do mentions meet their
+    texts by id and text. Of mentions that overlap the one that begins first is replaced, of these the longest. A row comes out for each row.
     """
-    found = find_mentions(docs, doc_id, text).withColumnRenamed(doc_id, "doc")
-    spans = found.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("neg"), "kind"))).alias("spans"))
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text")).join(spans, "doc", "left")
+    rows = _rows(docs, doc_id, text)
+    shared, exact, terms = _learnt(rows, max_terms)
+    if exact:
+        return rows.mapInPandas(_clean(shared), "doc bigint, text string").withColumnRenamed("doc", doc_id)
+    keyed = rows.withColumn("key", F.sha2(F.col("text"), 256))
+    once = keyed.where("text <> ''").dropDuplicates(["key"]).withColumn("doc", F.xxhash64("key"))
+    found = _verified(once.select("doc", "text").mapInPandas(_find(shared, False), _FOUND), terms)
+    spans = found.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "kind")).alias("spans"))
+    joined = keyed.withColumn("at", F.xxhash64("key")).join(spans.withColumnRenamed("doc", "at"), "at", "left").select("doc", "text", "spans")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for t, s in zip(f["text"], f["spans"], strict=True):
-                if t is None or s is None:
-                    out.append(t)
-                    continue
-                at, parts = 0, []
-                for x in s:
-                    if x["start"] >= at:
-                        parts += [t[at : x["start"]], PLACEHOLDERS[x["kind"]]]
-                        at = -x["neg"]
-                out.append("".join([*parts, t[at:]]))
-            yield pd.DataFrame({"doc": f["doc"], "text": out})
-
-    return rows.mapInPandas(run, "doc bigint, text string").withColumnRenamed("doc", doc_id)
+            new = [t if s is None or t is None else _replaced(t, [(x["start"], x["end"], x["kind"]) for x in s]) for t, s in zip(f["text"], f["spans"], strict=True)]
+            yield pd.DataFrame({"doc": f["doc"], "text": new})
+
+    return joined.mapInPandas(run, "doc bigint, text string").withColumnRenamed("doc", doc_id)
