@@ -1,3 +1,5 @@
+import dataclasses
+
 import numpy as np
 import pytest
 
@@ -189,7 +191,47 @@ def test_a_visitor_brings_as_many_copies_as_k_needs(k):
 
     x = looks(40)
     qz = V._train(np.array([v.tobytes() for v in x], object), 64, 4, len(x), 1)
-    monkey = type("Shared", (), {"value": V.Quantiser(qz.centroids, qz.books, np.full_like(qz.blocks, 2))})  # two blocks: every vector visits one
+    monkey = type("Shared", (), {"value": dataclasses.replace(qz, blocks=np.full_like(qz.blocks, 2))})  # two blocks: every vector visits one
     same = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array([[float(a) for a in x[0]]] * 20, pa.list_(pa.float32()))], names=["id", "v"])
-    rows = pa.Table.from_batches(V._route(monkey, 64, False, True, k + 1)(iter([same]))).to_pylist()
+    rows = pa.Table.from_batches(V._route(monkey, 64, False, True, k + 1, False)(iter([same]))).to_pylist()
     assert {len(r["ids"]) for r in rows if r["role"] == V.VISITOR} == {k}
+
+
+def test_hot_vectors_are_searched_once_and_all_copies_answered(spark, monkeypatch):
+    """A third of all rows are one vector, another recurs too; few copies count as hot here, on the driver and on the executors."""
+    x = looks(40, 4)
+    x = np.concatenate([x, np.repeat(x[:1], 80, axis=0), np.repeat(x[77:78], 20, axis=0)])
+    want, clusters = brute(x), name_clusters(similarity_clusters(table(spark, x), "id", "embedding")).collect()
+    t = table(spark, x, BAD)
+    for sample in (V.DRIVER_SAMPLE, 10):
+        monkeypatch.setattr(V, "HOT_ROWS", 15)
+        monkeypatch.setattr(V, "DRIVER_SAMPLE", sample)
+        qz = V.fit(t.select("id", "embedding"), 64)
+        assert len(qz.hot) == 2
+        got = found(nearest_vectors(t.unionByName(t), None, "id", "embedding"))
+        assert {i: got.get(i, []) for i in want} == want
+        assert sorted(map(tuple, name_clusters(similarity_clusters(t, "id", "embedding")).collect())) == sorted(map(tuple, clusters))
+
+
+def test_lists_of_a_vector_are_found_over_groups_in_flat_memory():
+    """Two levels: the same lists as by all centroids, but for a few; what is held does not grow with the number of lists."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    peaks = []
+    for n in (10_000, 130_000):
+        c = V.unit(rng.normal(size=(n, 64))).astype(np.float32)
+        g = round(n**0.5)
+        centres = c[:g]
+        home = V._nearest(c, centres)
+        o = np.argsort(home, kind="stable")
+        size = np.bincount(home, minlength=g)
+        qz = V.Quantiser(c[o], np.zeros((16, 256, 4), np.float32), np.ones(n, np.int32), centres[size > 0], np.r_[0, np.cumsum(size[size > 0])])
+        x = V.unit(c[rng.integers(0, n, 3000)] + rng.normal(size=(3000, 64)) * 0.06).astype(np.float32)
+        tracemalloc.start()
+        at, _ = qz.nearest(x, 12, 0.07)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        exact = V._nearest(x, qz.centroids)
+        assert (at[:, 0] == exact).mean() > 0.95
+    assert peaks[1] < 1.5 * peaks[0] < 150e6

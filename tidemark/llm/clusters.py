@@ -231,7 +231,8 @@ def similarity_clusters(vectors: DataFrame, vector_id: str, vector: str, thresho
     if qz is None:
         return spark.createDataFrame([], "cluster bigint, markov bigint, id bigint, flow double")
     shared = spark.sparkContext.broadcast(qz)
-    found = cut(scan_cells(build_index(spread(rows, "id"), dim, shared), dim, shared, threshold, _groups(flow), _DDL))
+    index, hot = build_index(spread(rows, "id"), dim, shared)
+    found = cut(scan_cells(index, dim, shared, threshold, _groups(flow), _DDL))
     nodes = found.where(F.col("kind") == _NODE).select(F.col("a").alias("node"), F.col("b").alias("local"), "ids", "near", "sim")
     links = found.where(F.col("kind") == _LINK).select(F.col("a").alias("node"), "b", "w")
     # a link leaves a node of another list or the name of a group, which is a node of it
@@ -245,9 +246,13 @@ def similarity_clusters(vectors: DataFrame, vector_id: str, vector: str, thresho
     out = nodes.join(top, "local", "left")
     out = out.join(through_flow(nodes), "node") if flow else out.withColumn("flow", F.lit(None).cast("double"))
     local = F.col("local")
-    return out.select(
-        F.coalesce("cluster", local).alias("cluster"), F.coalesce("markov", local).alias("markov"), F.explode("ids").alias("id"), "flow"
-    )
+    out = out.select(F.coalesce("cluster", local).alias("cluster"), F.coalesce("markov", local).alias("markov"), F.explode("ids").alias("id"), "flow")
+    if hot is None:
+        return out
+    # a hot vector's leader stands for all its copies
+    led = out.join(F.broadcast(hot.leads.withColumnRenamed("lead", "id")), "id", "left_semi").withColumnRenamed("id", "lead")
+    more = hot.copies.where("id <> lead").join(F.broadcast(led), "lead").select("cluster", "markov", "id", "flow")
+    return out.unionByName(more)
 
 
 def name_clusters(members: DataFrame) -> DataFrame:

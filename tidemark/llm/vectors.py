@@ -9,14 +9,15 @@ can be off, every pair that may reach the threshold, and hardly another, is reco
 precision. What a list finds counts for both sides of a pair. So accuracy is lost only where neither of two
 vectors visits the other's list.
 
-A batch's exact copies travel as one row, so a group of copies that holds a third of all rows collapses
-before the shuffle; a list that outgrows its task, by the sample's count, is split into blocks.
+A batch's exact copies travel as one row. Vectors that recur all over the data, as the sample shows (HOT_ROWS copies or more by its count), are taken out
+before the routing: the k + 1 smallest ids of each are searched, and all its copies get what these found. So a group of copies that holds
+a third of all rows is neither shuffled with its vectors nor piled up in a list. A list that outgrows its task, by the sample's count, is split into blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,8 @@ LIST_ROWS, BLOCK_ROWS = 2000, 8192
 #: The fit reads about this many vectors per centroid; no more centroids than MAX_LISTS are broadcast (32 MB at 64 values). A sample
 #: of up to DRIVER_SAMPLE vectors is fitted on the driver, a larger one by the executors, by the same rounds.
 SAMPLE_PER_LIST, MAX_LISTS, DRIVER_SAMPLE = 96, 131_072, 262_144
+#: Copies above which a vector counts as hot, by a sample that holds at least HOT_SEEN of them; at most MAX_HOT of the most frequent, the others collapse by batch.
+HOT_ROWS, HOT_SEEN, MAX_HOT = 1000, 3, 1024
 #: Rounds of the centroids' and the codebooks' fit, and residuals the codebooks are fitted to.
 ROUNDS, BOOK_ROUNDS, BOOK_SAMPLE = 8, 5, 16_384
 #: A vector visits the lists whose centroid is at most PROBE_MARGIN less similar than its nearest, MAX_PROBES at most. Of two indexed
@@ -38,6 +41,10 @@ ROUNDS, BOOK_ROUNDS, BOOK_SAMPLE = 8, 5, 16_384
 PROBE_MARGIN, MAX_PROBES = 0.07, 12
 QUERY_MARGIN, QUERY_PROBES = 0.1, 12
 SUBSPACES, CODEWORDS = 16, 256
+#: Centroids stand in groups, about as many as a group has centroids; a vector looks at those of the GROUPS nearest groups.
+GROUPS = 16
+#: Entries of a matrix of similarities to centroids held at once, and cells (blocks of lists) that a task of the search gets.
+_MATRIX, CELLS_PER_TASK = 1 << 22, 4
 #: Queries scored at once: few enough that a list's estimates stay in the processor's cache.
 _QUERY_BLOCK = 64
 
@@ -85,24 +92,47 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, spheri
 
 @dataclass(frozen=True)
 class Quantiser:
-    """Coarse centroids, codebooks (sub-space, word, part) and the blocks of each list."""
+    """Coarse centroids in the order of their groups, codebooks (sub-space, word, part), the blocks of each list, the groups' centres and where each begins."""
 
     centroids: np.ndarray
     books: np.ndarray
     blocks: np.ndarray
+    centres: np.ndarray
+    begins: np.ndarray
+    hot: tuple[bytes, ...] = ()
 
     @property
     def dim(self) -> int:
         return self.centroids.shape[1]
 
     def nearest(self, x: np.ndarray, probes: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
-        """Lists of each vector, the nearest first, and which of them it visits."""
-        s = x @ self.centroids.T
-        p = min(probes, s.shape[1])
-        at = np.argpartition(-s, p - 1, axis=1)[:, :p] if p < s.shape[1] else np.tile(np.arange(p), (len(x), 1))
-        top = np.take_along_axis(s, at, 1)
-        o = np.argsort(-top, axis=1, kind="stable")
-        at, top = np.take_along_axis(at, o, 1), np.take_along_axis(top, o, 1)
+        """Lists of each vector, the nearest first, and which of them it visits.
+
+        Two levels: the groups' centres first, then the centroids of the nearest groups, so the work per vector grows with the root of the
+        number of lists. Rows are taken in blocks, so that what is held does not grow with it either.
+        """
+        size = np.diff(self.begins)
+        g, widest = min(GROUPS, len(size)), int(size.max())
+        step = max(16, _MATRIX // max(len(size), g * widest))
+        p = min(probes, int(np.sort(size)[:g].sum()))
+        at, top = np.empty((len(x), p), np.int64), np.empty((len(x), p), np.float32)
+        for i in range(0, len(x), step):
+            part = x[i : i + step]
+            s = part @ self.centres.T
+            near = np.argpartition(-s, g - 1, axis=1)[:, :g] if g < len(size) else np.tile(np.arange(g), (len(part), 1))
+            some = np.full((len(part), g * widest), -np.inf, np.float32)
+            order = np.argsort(near, axis=None, kind="stable")
+            row, slot = order // g, order % g
+            cuts = np.searchsorted(near.ravel()[order], np.arange(len(size) + 1))
+            for j in np.nonzero(np.diff(cuts))[0]:
+                r, k = row[cuts[j] : cuts[j + 1]], slot[cuts[j] : cuts[j + 1]]
+                found = part[r] @ self.centroids[self.begins[j] : self.begins[j + 1]].T
+                some[r[:, None], (k * widest)[:, None] + np.arange(size[j])] = found
+            best = np.argpartition(-some, p - 1, axis=1)[:, :p] if p < some.shape[1] else np.tile(np.arange(p), (len(part), 1))
+            value = np.take_along_axis(some, best, 1)
+            o = np.argsort(-value, axis=1, kind="stable")
+            best, top[i : i + step] = np.take_along_axis(best, o, 1), np.take_along_axis(value, o, 1)
+            at[i : i + step] = self.begins[np.take_along_axis(near, best // widest, 1)] + best % widest
         return at, top >= top[:, :1] - margin
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,11 +172,62 @@ def fit(vectors: DataFrame, dim: int, seed: int = 7) -> Quantiser | None:
     some = vectors.where(F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     sample = some.mapInArrow(read, "v binary")
     if want > DRIVER_SAMPLE:
-        return _train_far(cut(sample.distinct()), dim, lists, share, seed)
-    raw = sample.toPandas()["v"].unique()
+        counted = cut(sample.groupBy("v").count())
+        often = counted.where(F.col("count") >= max(HOT_SEEN, share * HOT_ROWS)).orderBy(F.desc("count"), "v").limit(MAX_HOT)
+        far = _train_far(counted.select("v"), dim, lists, share, seed)
+        return far and replace(far, hot=tuple(bytes(r.v) for r in often.collect()))
+    seen = sample.toPandas()["v"].value_counts(sort=False)
+    raw, often = seen.index.to_numpy(), seen[seen >= max(HOT_SEEN, share * HOT_ROWS)].sort_index().sort_values(ascending=False, kind="stable")
     if not len(raw) and rows and share < 1:  # no valid vector in the sample: any that there are
         raw, share = vectors.mapInArrow(read, "v binary").limit(4096).toPandas()["v"].unique(), 1.0
-    return _train(raw, dim, lists, len(raw) / share, seed) if len(raw) else None
+    return replace(_train(raw, dim, lists, len(raw) / share, seed), hot=tuple(map(bytes, often.index[:MAX_HOT]))) if len(raw) else None
+
+
+def hot_ids(vectors: DataFrame, dim: int, quantiser) -> DataFrame:
+    """(hot, id): the rows of hot vectors, by their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {v: i for i, v in enumerate(quantiser.value.hot)}
+        for b in batches:
+            ids, x = valid_vectors(b, dim)
+            at = np.array([number.get(v.tobytes(), -1) for v in x], np.int32)
+            yield pa.record_batch([pa.array(at[at >= 0], pa.int32()), pa.array(ids[at >= 0], pa.int64())], names=["hot", "id"])
+
+    return vectors.mapInArrow(run, "hot int, id bigint")
+
+
+@dataclass(frozen=True)
+class Hot:
+    """Hot vectors' copies (lead, id), each once, and their leaders (lead), at most MAX_HOT."""
+
+    copies: DataFrame
+    leads: DataFrame
+
+
+def hot_rows(vectors: DataFrame, dim: int, quantiser, visits: bool, copies: int) -> tuple[DataFrame, Hot]:
+    """Index rows of each hot vector's ``copies`` smallest ids, as one row that leads them, and all its copies."""
+
+    def least(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, list[int]] = {}
+        for f in frames:
+            for h, g in f.groupby("hot")["id"]:
+                best[h] = sorted({*best.get(h, []), *np.unique(g)[:copies].tolist()})[:copies]
+        yield pd.DataFrame([(h, i) for h, x in best.items() for i in x], columns=["hot", "id"])
+
+    spark, hot = vectors.sparkSession, quantiser.value.hot
+    ids = hot_ids(vectors, dim, quantiser)
+    # a task hands on a few ids per vector, so the driver sees MAX_HOT times ``copies``
+    few = ids.mapInPandas(least, "hot int, id bigint").groupBy("hot").agg(F.slice(F.array_sort(F.array_distinct(F.collect_list("id"))), 1, copies).alias("ids")).orderBy("hot").collect()
+    batch = pa.record_batch(
+        [
+            pa.array([i for r in few for i in r.ids], pa.int64()),
+            pa.array([np.frombuffer(hot[r.hot], np.float32) for r in few for _ in r.ids], pa.list_(pa.float32())),
+        ],
+        names=["id", "v"],
+    )
+    rows = spark.createDataFrame(pa.Table.from_batches(list(_route(quantiser, dim, False, visits, copies, False)(iter([batch]))), _ROW), _ROW_DDL)
+    leads = spark.createDataFrame([(r.hot, r.ids[0]) for r in few], "hot int, lead bigint")
+    return rows, Hot(ids.distinct().join(F.broadcast(leads), "hot").select("lead", "id"), leads.select("lead"))
 
 
 def _floats(raw: np.ndarray, dim: int) -> np.ndarray:
@@ -161,7 +242,12 @@ def _finish(c: np.ndarray, x: np.ndarray, share: np.ndarray, distinct: float, rn
     m = max(d for d in range(1, SUBSPACES + 1) if dim % d == 0)
     w = dim // m
     books = np.stack([_kmeans(np.ascontiguousarray(r[:, j * w : (j + 1) * w]), CODEWORDS, BOOK_ROUNDS, rng, False) for j in range(m)])
-    return Quantiser(c, books, np.maximum(1, np.ceil(share * distinct / BLOCK_ROWS)).astype(np.int32))
+    groups = max(1, round(len(c) ** 0.5))
+    centres = _kmeans(c, groups, ROUNDS, rng, True)
+    home = _nearest(c, centres)
+    order, size = np.argsort(home, kind="stable"), np.bincount(home, minlength=groups)
+    blocks = np.maximum(1, np.ceil(share[order] * distinct / BLOCK_ROWS)).astype(np.int32)
+    return Quantiser(c[order], books, blocks, centres[size > 0], np.r_[0, np.cumsum(size[size > 0])])
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -217,11 +303,15 @@ def _train_far(sample: DataFrame, dim: int, lists: int, share: float, seed: int)
     return _finish(c, some(BOOK_SAMPLE), counts / n, n / share, np.random.default_rng(seed))
 
 
-def _route(quantiser, dim: int, query_only: bool, visits: bool, copies: int):
+def _route(quantiser, dim: int, query_only: bool, visits: bool, copies: int, skip_hot: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qz: Quantiser = quantiser.value
+        hot = frozenset(qz.hot) if skip_hot else ()
         for batch in batches:
             ids, raw = valid_vectors(batch, dim)
+            if hot:
+                cold = np.array([v.tobytes() not in hot for v in raw], bool)
+                ids, raw = ids[cold], raw[cold]
             if not len(ids):
                 continue
             # exact copies in a batch become one row that leads them; ids ascend, so a leader is its copies' smallest
@@ -263,14 +353,21 @@ def _route(quantiser, dim: int, query_only: bool, visits: bool, copies: int):
     return run
 
 
-def build_index(vectors: DataFrame, dim: int, quantiser, visits: bool = True, copies: int = 1) -> DataFrame:
-    """Every valid vector's rows (``_ROW_DDL``) in its list and in the lists it visits; a visitor brings the ids of ``copies`` of its equals, itself included."""
-    return vectors.mapInArrow(_route(quantiser, dim, False, visits, copies), _ROW_DDL)
+def build_index(vectors: DataFrame, dim: int, quantiser, visits: bool = True, copies: int = 1) -> tuple[DataFrame, Hot | None]:
+    """Every valid vector's rows (``_ROW_DDL``) in its list and in the lists it visits; a visitor brings the ids of ``copies`` of its equals, itself included.
+
+    Of hot vectors only ``copies`` ids are there; ``Hot`` has all of them, None where nothing is hot.
+    """
+    rows = vectors.mapInArrow(_route(quantiser, dim, False, visits, copies, True), _ROW_DDL)
+    if not quantiser.value.hot:
+        return rows, None
+    few, hot = hot_rows(vectors, dim, quantiser, visits, copies)
+    return rows.unionByName(few), hot
 
 
 def build_queries(vectors: DataFrame, dim: int, quantiser) -> DataFrame:
     """Rows that search the lists, but are not found themselves."""
-    return vectors.mapInArrow(_route(quantiser, dim, True, True, 1), _ROW_DDL)
+    return vectors.mapInArrow(_route(quantiser, dim, True, True, 1, False), _ROW_DDL)
 
 
 @dataclass
@@ -340,7 +437,10 @@ def scan_cells(index: DataFrame, dim: int, quantiser, threshold: float, reduce:
                 if len(out):
                     yield out
 
-    sorted_ = index.repartition("list", "block").sortWithinPartitions("list", "block", "role", "lead")
+    # as many tasks as the cells need, whatever the session's partitions are
+    conf = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(conf, -(-int(quantiser.value.blocks.sum()) // CELLS_PER_TASK))
+    sorted_ = index.repartition(tasks, "list", "block").sortWithinPartitions("list", "block", "role", "lead")
     return sorted_.mapInPandas(run, ddl)
 
 
@@ -402,13 +502,20 @@ def nearest_vectors(base: DataFrame, queries: DataFrame | None, base_id: str, ba
     if qz is None:
         return spark.createDataFrame([], out)
     shared = spark.sparkContext.broadcast(qz)
-    index = build_index(spread(b, "id"), dim, shared, copies=k + 1)
+    index, hot = build_index(spread(b, "id"), dim, shared, copies=k + 1)
     if queries is not None:
         index = index.unionByName(build_queries(spread(queries.select(F.col(query_id).cast("bigint").alias("id"), F.col(query_vector).alias("v")), "id"), dim, shared))
     found = scan_cells(index, dim, shared, threshold, _top(k), _FOUND_DDL)
     # per leader: what its own list and the lists it visited found, and who its copies are
     pairs = F.flatten(F.collect_list(F.transform(F.arrays_zip("micro", "cand"), lambda x: F.struct((-x.micro).alias("s"), x.cand.alias("c")))))
     lead = found.groupBy("query", "lead").agg(F.array_sort(F.array_distinct(pairs)).alias("best"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
-    each = lead.select("query", F.explode(F.array_distinct(F.concat(F.array("lead"), "ids"))).alias("id"), F.slice("best", 1, k + 1).alias("best"))
+    own = lead
+    if hot is not None:
+        own = lead.where("query").unionByName(lead.where("not query").join(F.broadcast(hot.leads), "lead", "left_anti"))
+    each = own.select("query", F.explode(F.array_distinct(F.concat(F.array("lead"), "ids"))).alias("id"), F.slice("best", 1, k + 1).alias("best"))
+    if hot is not None:
+        # all copies of a hot vector get what its leader found, each without itself; leaders are at most MAX_HOT
+        tops = lead.where("not query").join(F.broadcast(hot.leads), "lead", "left_semi").select("lead", F.slice("best", 1, k + 1).alias("best"))
+        each = each.unionByName(hot.copies.join(F.broadcast(tops), "lead").select(F.lit(False).alias("query"), "id", "best"))
     mine = F.slice(F.filter("best", lambda x: F.col("query") | (x.c != F.col("id"))), 1, k)
     return each.select("query", "id", F.posexplode(mine).alias("rank", "n")).select("query", "id", F.col("n.c").alias("neighbour"), (F.col("rank") + 1).alias("rank"), (-F.col("n.s") / 1e6).alias("similarity"))
