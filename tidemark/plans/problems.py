@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.storage import cut
 from tidemark.functions.time import epoch_us
 from tidemark.operators.instants import order_shares, parse_texts, resolve_instants
 from tidemark.operators.intervals import periods_and_gaps
@@ -56,13 +57,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_undeclared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same texts with no date order declared: how many of each source are resolved, and its day-first share."""
     texts = _texts(spark, sf_dir).withColumn("date_order", F.lit(None).cast("string"))
-    shares = order_shares(parse_texts(texts, "text"), "source", "date_order")
+    parsed = cut(parse_texts(texts, "text"))
+    shares = order_shares(parsed, "source", "date_order").where("family = 'slash'").select("source", F.round(F.get("shares", F.lit(0)), 4).alias("dmy_share"))
     status = resolve_instants(texts, "text", "source", "time_zone", "date_order").groupBy("source").agg(
         F.count_if(F.col("status") == "instant").alias("instants"),
         F.count_if(F.col("status") == "ambiguous").alias("ambiguous"),
         F.count_if(~F.col("status").isin("instant", "ambiguous")).alias("other"),
     )
-    return status.join(shares, "source", "left").select("source", "instants", "ambiguous", "other", F.round("dmy_share", 4).alias("dmy_share"))
+    return status.join(shares, "source", "left").select("source", "instants", "ambiguous", "other", "dmy_share")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
