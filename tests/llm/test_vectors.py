@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import vectors as V
-from tidemark.llm.clusters import coarse_flow, describe_clusters, join_connected, local_attractors, name_clusters, similarity_clusters
+from tidemark.llm.clusters import coarse_flow, describe_clusters, flow_levels, local_attractors, name_clusters, similarity_clusters
 from tidemark.llm.vectors import nearest_vectors
 
 DDL = "id bigint, embedding array<float>, lead string, list int"
@@ -128,11 +128,18 @@ def test_clusters_are_chains_of_pairs(spark):
     assert inside >= len({c for c, _ in got})
 
 
-def test_join_connected(spark):
-    e = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100)]
-    df = spark.createDataFrame(e + [(b, a) for a, b in e], "a bigint, b bigint").distinct()
-    got = dict(tuple(r) for r in join_connected(df).select("node", "component").collect())
-    assert all(got[i] == 0 for i in range(61)) and got[101] == 100
+@pytest.mark.parametrize("dense", [2048, 8])
+def test_levels_of_flow_end_with_whole_chains(spark, dense):
+    """A long chain, a pair, a hub with many leaves and two cliques held by one weak edge; neighbourhoods cut into small parts give the same."""
+    e = [(i, i + 1, 1.0) for i in range(60)] + [(100, 101, 0.9)] + [(200, 201 + i, 0.86) for i in range(90)]
+    e += [(c + i, c + j, 0.99) for c in (400, 410) for i in range(6) for j in range(i)] + [(402, 413, 0.85)]
+    df = spark.createDataFrame(e + [(b, a, w) for a, b, w in e], "a bigint, b bigint, w double")
+    got = dict(tuple(r) for r in flow_levels(df, dense=dense).select("node", "cluster").collect())
+    groups = {}
+    for n, c in got.items():
+        groups.setdefault(c, set()).add(n)
+    want = [set(range(61)), {100, 101}, set(range(200, 291)), {*range(400, 406), *range(410, 416)}]
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want))
 
 
 def settled(n, rounds=100):

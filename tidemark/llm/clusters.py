@@ -1,13 +1,15 @@
 """Clusters of mutually similar vectors by Markov clustering of their similarity graph.
 
 The graph has an edge wherever two vectors are at least ``threshold`` similar; its edges come from the lists
-of the inverted file (see ``vectors``). Flow is run on it in two levels. Within a list the flow matrix of all its
-edges is squared, inflated and pruned until columns settle; each node goes to its attractor. Edges between these
-groups, within and across lists, make a coarser graph whose flow matrix is squared, inflated and pruned
-until columns settle, a component in one task or, if it is too wide, as a distributed sparse matrix. Attractor
-rows name the Markov clusters, the members that most flow passed through represent them. Inflation splits
-long chains; as a cluster here is whatever a chain of similar pairs joins, the graph's connected components,
-exact, are the clusters, and Markov clusters lie within them.
+of the inverted file (see ``vectors``). Within a list the flow matrix of all its
+edges is squared, inflated and pruned until columns settle; each node goes to its attractor. The groups this makes are the nodes of a coarser
+graph, with the sums of the edges between them, and flow is run on it again: in the neighbourhoods of nodes chosen by a hash that
+changes from level to level, each settled in one task. What goes to one attractor becomes one node of the next level, and so on until no edge
+leaves a node. Inflation cuts long chains at one level, the next joins their parts, so the last clusters are what chains of similar pairs
+join, exactly. Every assignment on the way is one of settled flow.
+
+The Markov clusters of one level, as ``p7_markov`` gives them, come from the whole graph of the lists' groups: its flow matrix is squared, inflated and
+pruned until columns settle, a component in one task or, if it is too wide, as a distributed sparse matrix. They lie within the clusters.
 
 A list hands on one row per node and one per pair of groups. Only where the flow through the nodes is wanted do nodes carry
 their edges too, each pair of a list once and those across lists, so that it is that of the whole graph.
@@ -15,12 +17,15 @@ their edges too, each pair of a list once and those across lists, so that it is
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.storage import cut, spread
+from tidemark.functions.storage import cut, spread, stored
+from tidemark.operators.intervals import whole_groups
 from tidemark.llm.vectors import Cell, build_index, fit, scan_cells
 
 #: Inflation exponent and smallest share kept.
@@ -199,27 +204,72 @@ def distributed_flow(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return to.join(up, "cluster").select("node", F.col("above").alias("cluster"))
 
 
-def join_connected(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, component): the smallest node of each node's connected component, of both directions (a, b) of the edges.
+def _settled(f: pd.DataFrame) -> pd.DataFrame:
+    """(node, to) of the edges (a, b, w) of whole parts of neighbourhoods: where the settled flow of each node goes, level by level until no edge within is left.
 
-    Each round takes the smallest label among a node and its neighbours and then that label's own label,
-    so the rounds grow with the logarithm of a component's width; it ends when nothing changes.
+    What holds the neighbourhood's centre is named after it, as the centre is in all parts of its neighbourhood.
     """
-    label = cut(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component")))
-    for _ in range(rounds):
-        near = edges.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near")).withColumnRenamed("a", "node")
-        step = label.join(near, "node").select("node", "component", F.least("component", "near").alias("next"))
-        jump = label.select(F.col("node").alias("next"), F.col("component").alias("above"))
-        step = cut(step.join(jump, "next", "left").select("node", "component", F.least("next", F.coalesce("above", "next")).alias("next")))
-        label = step.select("node", F.col("next").alias("component"))
-        if step.where("component <> next").isEmpty():
-            return label
-    raise RuntimeError(f"components still change after {rounds} rounds")
+    part = f.groupby(["a_home", "a_part"], sort=False).ngroup().to_numpy()
+    both = np.concatenate([np.stack([part, f[c].to_numpy()], axis=1) for c in ("a", "b", "a_home")])
+    names, at = np.unique(both, axis=0, return_inverse=True)
+    row, col, home = np.split(at.ravel(), 3)
+    w, to = f["w"].to_numpy(), np.arange(len(names))
+    for _ in range(len(names)):
+        next_ = local_attractors(len(names), row, col, w)
+        to = next_[to]
+        row, col = next_[row], next_[col]
+        pair, at = np.unique(np.stack([row, col], axis=1)[row != col], axis=0, return_inverse=True)
+        w = np.bincount(at.ravel(), w[row != col], len(pair))
+        if not len(pair):
+            break
+        row, col = pair[:, 0], pair[:, 1]
+    centre = np.arange(len(names))
+    centre[to[home]] = home
+    to = centre[to]
+    moved = to != np.arange(len(names))
+    return pd.DataFrame({"node": names[moved, 1], "to": names[to[moved], 1]})
+
+
+def _neighbourhoods(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # no edge leads from one part to another, so those of a batch are one matrix of many components
+    for f in whole_groups(frames, ["a_home", "a_part"]):
+        yield _settled(f)
+
+
+def flow_levels(edges: DataFrame, levels: int = 64, dense: int = COMPONENT_NODES) -> DataFrame:
+    """(node, cluster) of both directions (a, b, w) of a graph's edges: flow level by level, until no edge leaves a cluster.
+
+    At a level each node joins the neighbourhood of the node that ranks highest among itself and its neighbours, by the order of magnitude of its
+    degree, then by a hash of this level. The edges inside a neighbourhood are a flow matrix of their own, settled in one task; one of more than ``dense`` nodes is cut by a hash, its
+    centre is in all parts, and edges between parts wait for the next level. An expected share of the nodes goes in each level, so the levels
+    grow with the logarithm of the graph, a hub is done in one.
+    """
+    label = None
+    for level in range(levels):
+        rank = edges.groupBy("a").agg(F.struct(F.floor(F.log2(F.count("*"))).alias("d"), F.xxhash64(F.col("a"), F.lit(level)).alias("h"), F.col("a").alias("n")).alias("r"))
+        best = edges.join(rank.select(F.col("a").alias("b"), "r"), "b").groupBy("a").agg(F.max("r").alias("m")).join(rank, "a")
+        home = best.select(F.col("a").alias("node"), F.greatest("m", "r")["n"].alias("home"))
+        part = F.pmod(F.xxhash64("node"), F.ceil(F.count("*").over(Window.partitionBy("home")) / dense))
+        home = stored(home.select("node", "home", part.alias("part")))
+        at = lambda c: home.select(F.col("node").alias(c), F.col("home").alias(f"{c}_home"), F.col("part").alias(f"{c}_part"))
+        inner = edges.join(at("a"), "a").join(at("b"), "b").where("a_home = b_home and (a_part = b_part or a = a_home or b = a_home)")
+        inner = inner.withColumn("a_part", F.when(F.col("a") == F.col("a_home"), F.col("b_part")).otherwise(F.col("a_part")))
+        moved = stored(inner.repartition("a_home", "a_part").sortWithinPartitions("a_home", "a_part").mapInPandas(_neighbourhoods, "node bigint, to bigint"))
+        to = lambda c: moved.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to"))
+        if label is None:
+            label = home.select("node", F.col("node").alias("cluster"))
+        label = label.join(to("cluster"), "cluster", "left").select("node", F.coalesce("cluster_to", "cluster").alias("cluster"))
+        left = edges.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b"), "w").where("a <> b")
+        edges = stored(left.groupBy("a", "b").agg(F.sum("w").alias("w")))
+        if edges.isEmpty():
+            return stored(label)
+    raise RuntimeError(f"links still leave clusters after {levels} levels")
 
 
 def similarity_clusters(vectors: DataFrame, vector_id: str, vector: str, threshold: float = 0.85, dim: int = 64, flow: bool = True) -> DataFrame:
     """(cluster, markov, id, flow): each valid vector's row; ``cluster`` numbers whatever chains of pairs join that are at least
-    ``threshold`` similar, ``markov`` the Markov cluster inside it, ``flow`` what passed through the vector (null without ``flow``, which spares writing the edges).
+    ``threshold`` similar, ``markov`` the Markov cluster of one level inside it, ``flow`` what passed through the vector (without ``flow`` both are null, which spares writing
+    the edges).
 
     A vector like no other makes a cluster of its own. Vectors that are null, of another length than
     ``dim``, not finite or all zero, and rows without id, are left out; exact copies are one vector with
@@ -240,13 +290,19 @@ def similarity_clusters(vectors: DataFrame, vector_id: str, vector: str, thresho
     half = ends.groupBy("a", "b").agg(F.sum("w").alias("w"))
     turn = lambda e, *more: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), *more))
     edges = cut(turn(half, "w"))
-    joined = join_connected(edges)
-    markov = coarse_flow(edges, joined).select(F.col("node").alias("local"), F.col("cluster").alias("markov"))
-    top = cut(markov.join(joined.select(F.col("node").alias("local"), F.col("component").alias("cluster")), "local"))
+    if edges.isEmpty():
+        top = spark.createDataFrame([], "local bigint, markov bigint, cluster bigint")
+    else:
+        top = flow_levels(edges).select(F.col("node").alias("local"), "cluster")
+        if flow:
+            markov = coarse_flow(edges, top.select(F.col("local").alias("node"), F.col("cluster").alias("component")))
+            top = cut(markov.select(F.col("node").alias("local"), F.col("cluster").alias("markov")).join(top, "local"))
+        else:
+            top = top.withColumn("markov", F.lit(None).cast("bigint"))
     out = nodes.join(top, "local", "left")
     out = out.join(through_flow(nodes), "node") if flow else out.withColumn("flow", F.lit(None).cast("double"))
     local = F.col("local")
-    out = out.select(F.coalesce("cluster", local).alias("cluster"), F.coalesce("markov", local).alias("markov"), F.explode("ids").alias("id"), "flow")
+    out = out.select(F.coalesce("cluster", local).alias("cluster"), (F.coalesce("markov", local) if flow else F.lit(None).cast("bigint")).alias("markov"), F.explode("ids").alias("id"), "flow")
     if hot is None:
         return out
     # a hot vector's leader stands for all its copies

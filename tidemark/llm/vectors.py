@@ -44,7 +44,7 @@ SUBSPACES, CODEWORDS = 16, 256
 #: Centroids stand in groups, about as many as a group has centroids; a vector looks at those of the GROUPS nearest groups.
 GROUPS = 16
 #: Entries of a matrix of similarities to centroids held at once, and cells (blocks of lists) that a task of the search gets.
-_MATRIX, CELLS_PER_TASK = 1 << 22, 4
+_MATRIX, CELLS_PER_TASK = 1 << 22, 12
 #: Queries scored at once: few enough that a list's estimates stay in the processor's cache.
 _QUERY_BLOCK = 64
 
