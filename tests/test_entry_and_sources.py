@@ -50,3 +50,11 @@ def test_partitions_are_replaced_one_by_one(spark, tmp_path):
     tables.write_partitioned(spark.createDataFrame([(1, "a"), (2, "b")], "v int, x string"), at, "v")
     tables.write_partitioned(spark.createDataFrame([(2, "c")], "v int, x string"), at, "v")
     assert {tuple(r) for r in spark.read.parquet(at).select("v", "x").collect()} == {(1, "a"), (2, "c")}
+
+
+def test_photos_of_keys(spark):
+    from tidemark.sources.files import photos_of
+
+    listed = spark.createDataFrame([("file:/p/a.JPG",), ("file:/p/a.png",), ("file:/p/b.txt",), ("file:/p/c.d.jpeg",)], "path string")
+    got = {r.k: r.path for r in photos_of(listed, spark.createDataFrame([("a",), ("b",), ("c.d",)], "k string"), "k").collect()}
+    assert got == {"a": "file:/p/a.JPG", "b": None, "c.d": "file:/p/c.d.jpeg"}

@@ -37,6 +37,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """As ``cut``, but as a table of its own, whose plan knows its true size; a checkpoint keeps its origin's estimate, which multiplies from join to join in a loop."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *by: str) -> DataFrame:
     """``df`` over at least as many partitions as the session has cores, for work that costs far more than moving its rows.
 

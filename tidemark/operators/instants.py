@@ -213,18 +213,21 @@ def resolve_instants(df: DataFrame, text: str, source: str, time_zone: str, date
     out = out.withColumn("posterior", F.when(one & r.dmy.isNotNull(), 1.0).when(F.col("_best.w") > 0, same / total)).withColumn("_wall", wall)
     zone = F.coalesce(r.zone, F.col(time_zone))
     ts = F.timestamp_micros("_wall")
-    back = F.to_utc_timestamp(ts, zone)
-    utc = F.unix_micros(back)
+    # steps of their own, so that each conversion is done once
+    out = out.withColumn("_back", F.when(r.offset_min.isNull(), F.to_utc_timestamp(ts, zone)))
     # of two instants with one wall time the conversion takes the earlier; a skipped wall time does not come back
-    exists = F.from_utc_timestamp(back, zone) == ts
-    by_zone = F.when(zone.isNotNull() & exists, utc)
+    out = out.withColumn("_exists", F.from_utc_timestamp("_back", zone) == ts)
+    exists = F.col("_exists")
+    by_zone = F.when(zone.isNotNull() & exists, F.unix_micros("_back"))
     # the offset, of those an abbreviation stands for, that the zone has then
     several = {k: v for k, v in ZONE_MINUTES.items() if len(v) > 1}
     offsets = F.coalesce(*[F.when(r.abbreviation == k, F.array(*map(F.lit, v)).cast("array<bigint>")) for k, v in several.items()])
     local = F.filter(offsets, lambda m: F.from_utc_timestamp(F.timestamp_micros(F.col("_wall") - m * 60_000_000), zone) == ts)
-    offset = F.coalesce(r.offset_min, F.get(local, F.lit(0)))
+    out = out.withColumn("_offset", F.coalesce(r.offset_min, F.when(r.abbreviation.isNotNull(), F.get(local, F.lit(0)))))
+    offset = F.col("_offset")
     us = F.when(offset.isNotNull(), F.col("_wall") - offset * 60_000_000).when(r.abbreviation.isNull(), by_zone)
-    us = F.when(us.between(FIRST_US, END_US - 1), us)
+    out = out.withColumn("_us", us)
+    us = F.when(F.col("_us").between(FIRST_US, END_US - 1), F.col("_us"))
     status = (
         F.when(F.col(text).isNull(), "null")
         .when(F.col("_wall").isNull(), "none")
@@ -236,4 +239,4 @@ def resolve_instants(df: DataFrame, text: str, source: str, time_zone: str, date
         .otherwise("instant")
     )
     out = out.withColumn("status", status).withColumn("epoch_us", F.when(F.col("status") == "instant", us))
-    return out.drop("_wall", "_best", "_read", "_source", "_family", "_declared", "shares")
+    return out.drop("_wall", "_best", "_back", "_exists", "_offset", "_us", "_read", "_source", "_family", "_declared", "shares")

@@ -21,24 +21,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.storage import scratch_path
+from tidemark.operators.intervals import _running_max
 
 BUCKETS = 64
+#: The closing mark's group, which no recording has.
+_MARK = -(1 << 62)
 _OUT = "group_id bigint, entity bigint, start_us bigint, end_us bigint, n_visits bigint"
 _STATE = "recording array<bigint>, entity array<bigint>, day array<bigint>, start array<bigint>, stop array<bigint>, n array<bigint>"
 
 
 def merge_sessions(sessions: np.ndarray, gap_us: int) -> np.ndarray:
     """Joins rows (recording, entity, day, start, stop, n) of one recording, entity and day whose starts are at most ``gap_us`` after the latest end so far."""
-    sessions = sessions[np.lexsort(sessions.T[3::-1])]
-    out: list[list[int]] = []
-    for row in sessions.tolist():
-        last = out[-1] if out else None
-        if last and last[:3] == row[:3] and row[3] - last[4] <= gap_us:
-            last[4] = max(last[4], row[4])
-            last[5] += row[5]
-        else:
-            out.append(row)
-    return np.array(out, dtype=np.int64).reshape(-1, 6)
+    if not len(sessions):
+        return sessions.reshape(-1, 6)
+    s = sessions[np.lexsort(sessions.T[3::-1])]
+    other = np.r_[True, (s[1:, :3] != s[:-1, :3]).any(axis=1)]
+    # the latest end so far within a day may run on over sessions, as a later session begins beyond it
+    far = _running_max(s[:, 4], other)
+    first = np.nonzero(other | np.r_[True, s[1:, 3] - far[:-1] > gap_us])[0]
+    out = s[first].copy()
+    out[:, 4] = np.maximum.reduceat(s[:, 4], first)
+    out[:, 5] = np.add.reduceat(s[:, 5], first)
+    return out
 
 
 def _handler(gap_us: int):
@@ -82,12 +86,14 @@ def run_to_end(spark: SparkSession, visits_path: str, gap_us: int) -> DataFrame:
     is_staff is false. A closing mark far in the future follows the visits, so that every timer fires.
     The sink's table and the stream's checkpoint lie in the shared folder; a lost executor's tasks and
     state are restored from there. Without visits the result is empty.
+
+    All files are one micro-batch, so that no visit is late, whatever the order they were written in.
     """
     from tidemark.functions.time import epoch_us
 
     at = scratch_path(spark, "sessions")
     mark = spark.range(1).select(
-        F.lit(-1).cast("bigint").alias("group_id"), F.lit(-1).cast("bigint").alias("entity"), F.lit(0).cast("bigint").alias("day"),
+        F.lit(_MARK).cast("bigint").alias("group_id"), F.lit(-1).cast("bigint").alias("entity"), F.lit(0).cast("bigint").alias("day"),
         F.lit("end").alias("event_key"), F.lit(7258118400000000).alias("start_us"), F.lit(7258118400000000).alias("end_us"),
     )
     mark.write.parquet(f"{at}/mark")
@@ -107,7 +113,7 @@ def run_to_end(spark: SparkSession, visits_path: str, gap_us: int) -> DataFrame:
         )
     )
     marks = spark.readStream.schema(mark.schema).parquet(f"{at}/mark")
-    stream = session_timers(visits.unionByName(marks), gap_us).where("group_id >= 0")
+    stream = session_timers(visits.unionByName(marks), gap_us).where(f"group_id <> {_MARK}")
     # state on the executors' disks, so that it may outgrow their memory
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
