@@ -64,3 +64,24 @@ def test_blocks_cover_what_the_intervals_cover():
         assert not got[x:y].any()
         got[x:y] = True
     assert (got == want).all() and (b[:-1] < a[1:]).all() and (k == 0).all()
+
+
+def test_long_intervals_stay_whole_between_their_ends(spark, monkeypatch):
+    """Blocks above the tile beside short intervals in, at the edge of and after what they cover."""
+    from tidemark.operators import intervals
+
+    monkeypatch.setattr(intervals, "LONG_TILES", 3)
+    rng = random.Random(2)
+    rows = []
+    for _ in range(1500):
+        s = rng.randrange(-4000, 40_000)
+        rows.append((rng.choice([1, 2, 2, 3]), s, s + rng.choice([0, 1, 5, 9, 40, rng.choice([200, 700, 3000]) if rng.random() < 0.02 else 2]), "x", 7))
+    for bits in (3, 5, 8):
+        assert run(spark, rows, bits) == brute(rows)
+    assert run(spark, rows, 4, 20) == brute(rows, 20)
+
+
+def test_millennia_are_a_few_blocks(spark):
+    year = 31_556_952_000_000
+    rows = [(1, 0, 8000 * year, None, None), (1, 5 * year, 5 * year + 10, None, None), (1, -50, -40, None, None), (1, 8000 * year + 5, 8000 * year + 6, None, None), (2, 5, 80 * year, None, None)] * 3
+    assert run(spark, rows, 33) == brute(rows)

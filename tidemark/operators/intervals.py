@@ -5,7 +5,9 @@ intervals that touch in one instant join and intervals one unit apart do not. Ea
 tiles of the axis and decomposed into canonical dyadic blocks ``[i * 2**k, (i + 1) * 2**k)``; blocks
 inside a larger one are dropped, sibling pairs merge upward, and neighbouring blocks coalesce.
 (key, tile) is the unit of work, so that a key that holds a third of all rows is spread over its tiles;
-only the first and the last period of a tile go on to a per-key step.
+only the first and the last period of a tile go on to a per-key step. An interval over many tiles is cut at its first and its last one only;
+between them it stays whole, as the canonical blocks above the tile, each once per key however many intervals hold it. What lies in a
+tile that such a block covers is dropped.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: log2 of a tile's length on the doubled axis: 2**33 half-microseconds are about 72 minutes.
 TILE_BITS = 33
+#: An interval over more tiles than this is kept as blocks above the tile.
+LONG_TILES = 64
 
 
 def dyadic_union(key: np.ndarray, lo: np.ndarray, hi: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,6 +101,24 @@ def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd
         yield pd.concat(rest)
 
 
+def _blocks_above(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, first, last) of the canonical dyadic blocks, in tiles, of tile ranges [first, last)."""
+    for f in frames:
+        a, b, key = f["first"].to_numpy(np.int64).copy(), f["last"].to_numpy(np.int64).copy(), f["key"].to_numpy()
+        keys, starts, levels = [], [], []
+        k = 0
+        while (live := a < b).any():
+            left = live & (a & 1 == 1)
+            right = live & (b & 1 == 1) & (a + left < b)
+            keys += [key[left], key[right]]
+            starts += [a[left] << k, (b[right] - 1) << k]
+            levels += [np.full(left.sum(), k), np.full(right.sum(), k)]
+            a, b, k = (a + left) >> 1, (b - right) >> 1, k + 1
+        if keys:
+            at, level = np.concatenate(starts), np.concatenate(levels)
+            yield pd.DataFrame({"key": np.concatenate(keys), "first": at, "last": at + (np.int64(1) << level)})
+
+
 def _tiles(bits: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in whole_groups(frames, ["key", "tile"]):
@@ -123,13 +145,20 @@ def periods_and_gaps(df: DataFrame, key: str, start_us: Column, end_us: Column,
     Rows with a null key or bound and rows that end before they start do not count; zero length does.
     Repeated rows have no effect, an empty input gives no rows, other columns of ``df`` are ignored
     whatever their names. A gap of ``max_gap_us`` or longer is left out; None keeps all. The key must
-    be an integer. An interval costs one row per tile it meets.
+    be an integer. An interval costs one row per tile it meets, up to LONG_TILES of them, or as many blocks as the logarithm of its length.
     """
     tile = 1 << tile_bits
     rows = df.select(F.col(key).cast("bigint").alias("key"), start_us.alias("s"), end_us.alias("e")).where("key is not null and s is not null and e is not null and e >= s")
     rows = rows.select("key", (F.col("s") * 2).alias("s"), (F.col("e") * 2 + 1).alias("e"))
     first, last = F.shiftright("s", tile_bits), F.shiftright(F.col("e") - 1, tile_bits)
-    cut = rows.select("key", "s", "e", F.explode(F.sequence(first, last)).alias("tile")).select(
+    rows = rows.select("key", "s", "e", first.alias("first"), last.alias("last"))
+    is_long = F.col("last") - F.col("first") > LONG_TILES
+    met = F.when(is_long, F.array("first", "last")).otherwise(F.when(~is_long, F.sequence("first", F.least("last", F.col("first") + LONG_TILES))))
+    above = rows.where(is_long).select("key", (F.col("first") + 1).alias("first"), "last").mapInPandas(_blocks_above, "key bigint, first bigint, last bigint").distinct()
+    above = above.select(
+        "key", F.col("first").alias("tile"), F.lit(True).alias("edge"), F.lit(False).alias("is_gap"), (F.col("first") * tile).alias("lo"), (F.col("last") * tile).alias("hi")
+    )
+    cut = rows.select("key", "s", "e", F.explode(met).alias("tile")).select(
         "key",
         "tile",
         F.greatest("s", F.col("tile") * tile).alias("lo"),
@@ -140,13 +169,18 @@ def periods_and_gaps(df: DataFrame, key: str, start_us: Column, end_us: Column,
         .sortWithinPartitions("key", "tile")
         .mapInPandas(_tiles(tile_bits), "key bigint, tile bigint, edge boolean, is_gap boolean, lo bigint, hi bigint")
     )
-    # inner rows keep their tile as a part of the partition key, edge rows of a key (two a tile) come together
+    blocks = blocks.unionByName(above)
+    # edge rows of a key, two a tile, and its blocks above come together; inner rows keep their tile as a part of the partition key
     part = blocks.withColumn("slot", F.when(~F.col("edge"), F.col("tile")))
-    w = Window.partitionBy("key", "slot").orderBy("is_gap", "lo")
-    prev_hi, prev_tile = F.lag("hi").over(w), F.lag("tile").over(w)
-    part = part.withColumn("prev_hi", prev_hi).withColumn("prev_tile", prev_tile)
-    part = part.withColumn("begins", ~F.col("edge") | F.col("prev_hi").isNull() | (F.col("prev_hi") != F.col("lo")))
+    w = Window.partitionBy("key", "slot").orderBy("is_gap", "lo", F.desc("hi"))
+    so_far = w.rowsBetween(Window.unboundedPreceding, -1)
+    part = part.withColumn("prev_hi", F.max("hi").over(so_far)).withColumn("prev_tile", F.lag("tile").over(w))
+    part = part.withColumn("begins", ~F.col("edge") | F.col("prev_hi").isNull() | (F.col("prev_hi") < F.col("lo")))
     part = part.withColumn("chain", F.sum(F.col("begins").cast("int")).over(w))
+    # inner rows of tiles that a block covers, which only blocks can, are dropped with the tile
+    tile_end = (F.col("tile") + 1) * tile
+    covered = part.where(F.col("edge") & (F.col("prev_hi") >= tile_end) & (F.col("lo") < tile_end)).select("key", F.col("tile").alias("slot")).distinct()
+    part = part.join(covered, ["key", "slot"], "left_anti")
     merged = part.groupBy("key", "slot", "is_gap", "chain").agg(
         F.min("lo").alias("lo"),
         F.max("hi").alias("hi"),
