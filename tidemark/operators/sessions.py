@@ -43,9 +43,9 @@ def merge_visits(visits: DataFrame, gap_us: int, keys: bool = False) -> DataFram
     v = v.withColumn("_date", F.coalesce("visit_date", F.to_date("entered_at")))
     known = v.where("person_id is not null")
     item = F.struct(
-        F.col("entry_frame_index").isNull().alias("z"), F.col("entry_frame_index").alias("f"), F.col("id").alias("id"), F.col("_date").alias("d"), F.col("_in").alias("a"), F.col("_out").alias("b")
+        F.col("entry_frame_index").isNull().alias("z"), F.col("entry_frame_index").alias("f"), F.col("id").cast("bigint").alias("id"), F.col("_date").alias("d"), F.col("_in").alias("a"), F.col("_out").alias("b")
     )
-    start = F.struct(F.lit(0).cast("bigint").alias("no"), F.lit(None).cast("date").alias("d"), F.lit(None).cast("bigint").alias("far"), F.array().cast("array<struct<id:int,no:bigint>>").alias("out"))
+    start = F.struct(F.lit(0).cast("bigint").alias("no"), F.lit(None).cast("date").alias("d"), F.lit(None).cast("bigint").alias("far"), F.array().cast("array<struct<id:bigint,no:bigint>>").alias("out"))
 
     def step(s, x):
         same = F.coalesce((x.d == s.d) & (x.a - s.far <= gap_us), F.lit(False))

@@ -64,7 +64,7 @@ def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def visit_session_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.merge_visits(_visits(spark, sf_dir), 90_000_000).where("person_id is not null").drop("entered_at", "left_at", "time_is_estimated")
+    return S.merge_visits(_visits(spark, sf_dir), 90_000_000).where("person_id is not null")
 
 
 def visit_session_singletons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +163,7 @@ _FOLD = """
 WITH RECURSIVE v AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_key ORDER BY id) AS k FROM visits) WHERE k = 1 AND NOT coalesce(is_staff, false)
 ), o AS (
-  SELECT id, event_key, video_id, person_id, coalesce(visit_date, CAST(entered_at AS DATE)) AS d, epoch_us(entered_at) AS a, epoch_us(left_at) AS b, entry_frame_index AS f, exit_frame_index AS x,
+  SELECT id, event_key, video_id, person_id, coalesce(visit_date, CAST(entered_at AS DATE)) AS d, epoch_us(entered_at) AS a, epoch_us(left_at) AS b, entry_frame_index AS f, exit_frame_index AS x, entered_at, left_at, time_is_estimated,
     row_number() OVER (PARTITION BY video_id, person_id ORDER BY entry_frame_index NULLS LAST, id) AS rn
   FROM v WHERE person_id IS NOT NULL
 ), w AS (
@@ -173,7 +173,7 @@ WITH RECURSIVE v AS (
     CASE WHEN o.d = w.d AND o.a - w.far <= {gap} THEN greatest(w.far, o.b) ELSE o.b END
   FROM w JOIN o ON o.video_id = w.video_id AND o.person_id = w.person_id AND o.rn = w.rn + 1
 ), z AS (
-  SELECT video_id, person_id, min(d) AS visit_date, min(f) AS entry_frame_index, max(x) AS exit_frame_index, count(*) AS segments_count,
+  SELECT video_id, person_id, min(d) AS visit_date, min(entered_at) AS entered_at, max(left_at) AS left_at, bool_or(time_is_estimated) AS time_is_estimated, min(f) AS entry_frame_index, max(x) AS exit_frame_index, count(*) AS segments_count,
     'session_' || sha256(string_agg(event_key, '|' ORDER BY event_key)) AS session_key, CASE WHEN max(b) >= min(a) THEN max(b) - min(a) END AS duration_us
   FROM w GROUP BY video_id, person_id, no
 ), y AS (
