@@ -405,12 +405,13 @@ class _Reveals:
         if got is None:
             import xxhash
 
-            h = np.int64(xxhash.xxh64_intdigest(term.encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(term.encode(), 42) >> 63))
+            h = xxhash.xxh64_intdigest(term.encode(), 42)
+            h -= (h >> 63) << 64
             if self.exact:
                 i = int(np.searchsorted(self.at, h))
                 got = i < len(self.at) and self.at[i] == h
             else:
-                bit = int(h) & ((1 << MAP_BITS) - 1)
+                bit = h & ((1 << MAP_BITS) - 1)
                 got = bool(self.at[bit >> 3] >> (7 - (bit & 7)) & 1)
             if len(self.known) > 1 << 20:
                 self.known = {"n:": True}
