@@ -169,7 +169,10 @@ def periods_and_gaps(df: DataFrame, key: str, start_us: Column, end_us: Column,
         .sortWithinPartitions("key", "tile")
         .mapInPandas(_tiles(tile_bits), "key bigint, tile bigint, edge boolean, is_gap boolean, lo bigint, hi bigint")
     )
-    blocks = blocks.unionByName(above)
+    # without long intervals nothing is covered, and what follows reads the tiles once
+    long = not rows.where(is_long).isEmpty()
+    if long:
+        blocks = blocks.unionByName(above)
     # edge rows of a key, two a tile, and its blocks above come together; inner rows keep their tile as a part of the partition key
     part = blocks.withColumn("slot", F.when(~F.col("edge"), F.col("tile")))
     w = Window.partitionBy("key", "slot").orderBy("is_gap", "lo", F.desc("hi"))
@@ -178,9 +181,10 @@ def periods_and_gaps(df: DataFrame, key: str, start_us: Column, end_us: Column,
     part = part.withColumn("begins", ~F.col("edge") | F.col("prev_hi").isNull() | (F.col("prev_hi") < F.col("lo")))
     part = part.withColumn("chain", F.sum(F.col("begins").cast("int")).over(w))
     # inner rows of tiles that a block covers, which only blocks can, are dropped with the tile
-    tile_end = (F.col("tile") + 1) * tile
-    covered = part.where(F.col("edge") & (F.col("prev_hi") >= tile_end) & (F.col("lo") < tile_end)).select("key", F.col("tile").alias("slot")).distinct()
-    part = part.join(covered, ["key", "slot"], "left_anti")
+    if long:
+        tile_end = (F.col("tile") + 1) * tile
+        covered = part.where(F.col("edge") & (F.col("prev_hi") >= tile_end) & (F.col("lo") < tile_end)).select("key", F.col("tile").alias("slot")).distinct()
+        part = part.join(covered, ["key", "slot"], "left_anti")
     merged = part.groupBy("key", "slot", "is_gap", "chain").agg(
         F.min("lo").alias("lo"),
         F.max("hi").alias("hi"),
