@@ -36,6 +36,25 @@ def test_nearest_persons_and_decision(spark):
     assert {r.query_id: (r.status, r.person_id) for r in I.decide(c, 0.35, 0.05).collect()} == {1: ("matched", 5), 2: ("no_match", None), 3: ("ambiguous", None), 4: ("matched", 7)}
 
 
+def shuffled_rows(plan):
+    """Rows written by the exchanges of a plan that ran."""
+    kind, m = plan.getClass().getSimpleName(), plan.metrics()
+    n = m.apply("shuffleRecordsWritten").value() if m.contains("shuffleRecordsWritten") else 0
+    inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else []
+    below = plan.children()
+    return n + sum(map(shuffled_rows, inner + [below.apply(i) for i in range(below.size())]))
+
+
+def test_nearest_persons_hands_on_the_best_persons_only(spark):
+    g, q = vectors(2000), vectors(100, 2)
+    gdf = spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(g)], "face_id bigint, person_id bigint, v array<double>").repartition(2)
+    qdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id bigint, v array<double>").repartition(2)
+    got = I.nearest_persons(qdf, gdf, 8, 3)
+    assert len(got.collect()) == 300
+    # of 200 000 (query, person) pairs
+    assert shuffled_rows(got._jdf.queryExecution().executedPlan()) < 10_000
+
+
 def test_reference_gallery_is_greedy_with_a_cap_per_pose(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice([1, 2]), rng.choice(["l", "r", "f", None]), rng.choice([0.1, 0.5, 0.9, None]), i % 7 != 0, [1.0] if i % 5 else None) for i in range(80)]
