@@ -55,6 +55,30 @@ def test_nearest_persons_hands_on_the_best_persons_only(spark):
     assert shuffled_rows(got._jdf.queryExecution().executedPlan()) < 10_000
 
 
+@pytest.mark.parametrize(("persons", "of", "element"), [(3, 400, "float"), (40, 6, "float"), (400, 6, "double"), (100, 1, "float")])
+def test_nearest_persons_over_many_blocks_with_ties(spark, monkeypatch, persons, of, element):
+    """Fewer persons than k, equal vectors of several persons, near ones: as when every pair is computed."""
+    monkeypatch.setattr(I, "BLOCK", 32)
+    rng = np.random.default_rng(persons)
+    # few distinct vectors, and copies of them that differ by less than single precision tells
+    w = rng.normal(size=(of * 10, 8))[rng.integers(0, of * 10, 500)] * (1 + rng.choice([0, 3e-7], (500, 8)))
+    u, person = np.concatenate([w[:20], rng.normal(size=(60, 8))]), rng.integers(0, persons, 500)
+    u, w = (x.astype(np.float32 if element == "float" else np.float64).astype(np.float64) for x in (u, w))
+    gdf = spark.createDataFrame([(i, int(person[i]), v.tolist()) for i, v in enumerate(w)], f"face_id bigint, person_id bigint, v array<{element}>").repartition(3)
+    qdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], f"query_id bigint, v array<{element}>")
+    got = {(r.query_id, r.rank): (r.person_id, r.face_id, r.similarity) for r in I.nearest_persons(qdf, gdf, 8, 5).collect()}
+    un, wn = (x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] for x in (u, w))
+    s = np.round(np.einsum("ik,jk->ij", un, wn), 6)
+    want = {}
+    for i in range(len(u)):
+        best = {}
+        for j in range(500):
+            best[person[j]] = min(best.get(person[j], (9, 9)), (-s[i, j], j))
+        for r, (p, (d, j)) in enumerate(sorted(best.items(), key=lambda x: (x[1][0], x[0]))[:5], 1):
+            want[i, r] = (p, j, -d)
+    assert got == want
+
+
 def test_reference_gallery_is_greedy_with_a_cap_per_pose(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice([1, 2]), rng.choice(["l", "r", "f", None]), rng.choice([0.1, 0.5, 0.9, None]), i % 7 != 0, [1.0] if i % 5 else None) for i in range(80)]
